@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from concord.llm import tokens
+from concord.llm import packing, substrings, tokens
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
+    "op7_substring_dedup": substrings.op7_substring_dedup,
     "op10_byte_bpe": tokens.op10_byte_bpe,
 }
 ORACLES: dict[str, str] = {}
