@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from concord.llm import packing, substrings, tokens
+from concord.llm import ngram_join, packing, substrings, tokens
 
 QUERIES = {
+    "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op4_packing": packing.op4_packing,
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op10_byte_bpe": tokens.op10_byte_bpe,
