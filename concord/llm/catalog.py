@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from concord.llm import language, ngram_join, packing, substrings, tokens, toxicity
+from concord.llm import fingerprints, language, ngram_join, packing, substrings, tokens, toxicity
 
 QUERIES = {
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
     "op4_packing": packing.op4_packing,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_language_id": language.op6_language_id,
     "op7_substring_dedup": substrings.op7_substring_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
