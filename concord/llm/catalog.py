@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concord.llm import fingerprints, language, ngram_join, packing, substrings, tokens, toxicity
+from concord.llm import fingerprints, language, near_vectors, ngram_join, packing, substrings, tokens, toxicity
 
 QUERIES = {
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_language_id": language.op6_language_id,
     "op7_substring_dedup": substrings.op7_substring_dedup,
+    "op8_near_vectors": near_vectors.op8_near_vectors,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_byte_bpe": tokens.op10_byte_bpe,
 }
