@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from concord.llm import fingerprints, language, near_vectors, ngram_join, packing, substrings, tokens, toxicity
+from concord.llm import fingerprints, language, near_vectors, ngram_join, packing, shards, substrings, tokens, toxicity, urls
 
 QUERIES = {
+    "op1_shards": shards.op1_shards,
     "op2_ngram_jaccard": ngram_join.op2_ngram_jaccard,
+    "op3_url_filter": urls.op3_url_filter,
     "op4_packing": packing.op4_packing,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_language_id": language.op6_language_id,
@@ -14,4 +16,4 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_byte_bpe": tokens.op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_shards": shards.ORACLE}

@@ -1,12 +1,65 @@
-"""The training-corpus pipeline; its stages are the operators of ``concord.llm``."""
+"""The training-corpus pipeline: five stages over ``documents``, each an operator of ``concord.llm``.
+
+A stage is ``(name, function)``; the function takes ``(spark, docs, sf_dir)`` and returns a
+DataFrame, which is written as Parquet and read again as the next one's ``docs``.  All but the last
+return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from concord.llm import language, ngram_join, packing, substrings, toxicity
+from concord.llm.folds import fold
+from concord.session import cut, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score below one half; those with null or empty texts stay."""
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, to="_score").where("_score < 0.5").select(*docs.columns)
+
+
+def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are in one of the learned languages; null texts and texts without a letter go."""
+    dictionaries = language.learn(docs.where(fold() != 0))
+    return language.identify(docs, dictionaries).where("not rejected").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each group that Jaccard 0.8 of five-word shingles links."""
+    groups = ngram_join.ngram_components(docs, k=5, p=80, q=100)
+    heads = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_head")).distinct()
+    return docs.join(heads, docs.doc_id.eqNullSafe(heads["_head"]), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, less the words of windows of 35 words that occur more than once; ``n_chars`` is counted anew."""
+    kept = substrings.dedup(docs, size=35)
+    return kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", drop_unknown_language),
+    ("ngram_join", drop_near_copies),
+    ("substring_dedup", drop_repeated_passages),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: No SQL expresses the classifiers or the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, one after the other."""
+    out = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        out = cut(stage(spark, out, sf_dir), name)
+    return STAGES[-1][1](spark, out, sf_dir)
