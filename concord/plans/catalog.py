@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.plans import dedupe
+from concord.plans import dedupe, quality, tracker, triage
 
-_PARTS = (dedupe,)
+_PARTS = (dedupe, quality, tracker, triage)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: f for p in _PARTS for n, f in p.QUERIES.items()}
 ORACLES: dict[str, str] = {n: q for p in _PARTS for n, q in p.ORACLES.items()}
 FLAGSHIP = "org_dedupe_pairs"
