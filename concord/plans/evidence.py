@@ -134,4 +134,18 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(page_text(F.col("html"))).alias("text_md5"))
 
 
+_JUDGED = f"""with c as (select page_id, url, html, list_filter(string_split_regex(regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '[^\\p{{L}} ]+', '', 'g'), ' +'), lambda w: w <> '') as w,
+ left(trim(regexp_replace({_TEXT}, '\\s+', ' ', 'g')), 100000) as text from pages),
+n as (select *, case when page_id % 3 = 0 then 'nobody' else coalesce(w[1], '') end as first, coalesce(w[2], '') as last, case when page_id % 2 = 0 then coalesce(w[-2], '') || ' ' || coalesce(w[-1], '') else 'unknown place' end as org, lower(text) as t,
+ split_part(replace(lower(regexp_extract(url, '://([^/?#]*)', 1)), 'www.', ''), '.', 1) as label from c),
+l as (select *, lower(trim(first || ' ' || last)) as pn, lower(trim(org)) as og, string_split_regex(t, '\\s+') as tw, lower(first) as lf, lower(last) as ll from n),
+a as (select *, list_filter(string_split_regex(pn, '\\s+'), lambda p: length(p) > 2) as pp, list_filter(string_split_regex(og, '\\s+'), lambda p: length(p) > 2) as op,
+ list_filter(range(len(tw)), lambda i: contains(tw[i + 1], lf)) as fa, list_filter(range(len(tw)), lambda i: contains(tw[i + 1], ll)) as la from l),
+h as (select *, len(list_filter(pp, lambda p: contains(t, p))) as ph, len(list_filter(op, lambda p: contains(t, p))) as oh, len(list_filter(fa, lambda i: len(list_filter(la, lambda j: abs(i - j) <= 60)) > 0)) > 0 as close,
+ len(list_filter(string_split_regex(lower(org), '[\\s/&-]+'), lambda x: length(x) > 3 and x not in ('dept', 'private', 'limited') and contains(label, x))) > 0 as on_domain from a),
+sc as (select *, case when pn = '' or t = '' then 0 when contains(t, pn) then 100 when len(pp) = 0 then 0 when ph = len(pp) then case when lf = '' or ll = '' or close then 95 else 40 end else floor(ph::double / len(pp) * 75)::int end as person_score,
+ case when og = '' or t = '' then 0 when contains(t, og) then 100 when len(op) = 0 then 0 when oh = len(op) then 95 else floor(oh::double / len(op) * 75)::int end as org_score from h),
+st as (select *, case when html is null then 'dead_url' when person_score >= 75 and (org_score >= 70 or on_domain) then 'confirmed' when person_score >= 75 then 'partial_hcp' when org_score >= 70 or on_domain then 'partial_hco' else 'not_found' end as status from sc)"""
+ORACLES["evidence_status"] = _JUDGED + " select page_id, first, last, org, person_score::int as person_score, org_score::int as org_score, on_domain, status from st"
+ORACLES["evidence_summary"] = _JUDGED + " select status, case when status = 'confirmed' then 'Confirmed' when starts_with(status, 'partial') then 'Partial Match' else 'Unconfirmed' end as label, count(*) as pages from st group by 1, 2"
 QUERIES = {"evidence_status": evidence_status, "evidence_summary": evidence_summary, "page_links": page_links, "page_text": page_texts}
