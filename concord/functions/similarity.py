@@ -85,6 +85,12 @@ def name_score_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[p
         yield pd.Series([name_score(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(T.DoubleType())
+def token_sort_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for a, b in batches:
+        yield pd.Series([token_sort(x, y) if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(T.IntegerType())
 def ratio_int_udf(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Plain ratio, truncated; 0 if either is empty."""

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from concord.functions.similarity import token_sort_udf
 from concord.operators import blocking, canonical, rules
 from concord.operators.components import connected_components
 
@@ -161,8 +162,8 @@ def legacy_organisations(df: DataFrame, cfg: dict) -> DataFrame:
     """The older rules: name and pin and address, phone and pin and name; review at 50."""
     canon = canonical.organisations(df, cfg)
     pairs = rules.paired(blocking.candidate_pairs(blocking.legacy_organisation_keys(canon), cfg["blocking"]["cap"]), canon)
-    ns = rules.score_pairs(pairs.withColumn("_x", F.col("a.name_norm")).withColumn("_y", F.col("b.name_norm")), "_x", "_y", "nscore")
-    both = rules.score_pairs(ns.withColumn("_x", F.col("a.addr_norm")).withColumn("_y", F.col("b.addr_norm")), "_x", "_y", "address").drop("_x", "_y")
+    ns = rules.score_pairs(pairs.withColumn("_x", F.col("a.name_norm")).withColumn("_y", F.col("b.name_norm")), "_x", "_y", "nscore", token_sort_udf)
+    both = rules.score_pairs(ns.withColumn("_x", F.col("a.addr_norm")).withColumn("_y", F.col("b.addr_norm")), "_x", "_y", "address", token_sort_udf).drop("_x", "_y")
     same = lambda x: F.coalesce((F.col(f"a.{x}") != "") & (F.col(f"a.{x}") == F.col(f"b.{x}")), F.lit(False))
     pin, phone = same("postal_norm"), F.coalesce(F.arrays_overlap("a.phones", "b.phones"), F.lit(False))
     rule = F.when((F.col("nscore") >= 92) & pin & (F.col("address") >= 90), "G1").when(phone & pin & (F.col("nscore") >= 92), "G2")
