@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -21,8 +22,11 @@ import pyarrow.compute as pc
 #: White space, and more, before a space: such a space may belong to a longer match.
 _UNSAFE = r"[\x00-\x20\x7f\x{80}-\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\x{feff}] "
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
-#: Chunks kept per worker, some 100 MB.
-CACHE = 500_000
+#: Punctuation that a match of its own begins with after letters.
+_CLOSING = ".,;:!?"
+_ENDS = frozenset(_CLOSING)
+#: Chunks kept per worker, some 200 MB.
+CACHE = 1_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -74,25 +78,37 @@ class ByteBpe:
         self.pool = np.frombuffer(b"".join(token_bytes), dtype=np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
+    def _piece(self, piece: str) -> list[int]:
+        chars = "Ġ" + piece[1:] if piece[0] == " " and piece[1:].isalpha() and piece.isascii() else to_chars(piece.encode())
+        return [t.id for t in self.model.tokenize(chars)]
+
     def _chunk(self, chunk: str) -> bytes:
         """Ids of one chunk as little-endian 32-bit integers."""
-        body = chunk[1:] if chunk[:1] == " " else chunk
-        # one match for sure: a space at most, then Latin letters only
-        whole = body.isalpha() and max(body) < "ɐ"
-        pieces = [chunk] if whole else [p for p, _ in self.split.pre_tokenize_str(chunk)]
-        ids = [t.id for p in pieces for t in self.model.tokenize(to_chars(p.encode()))]
-        return np.array(ids, dtype="<u4").tobytes()
+        # a space at most and Latin letters are one match, closing punctuation after them another
+        stem = chunk.rstrip(_CLOSING)
+        body = stem[1:] if stem[:1] == " " else stem
+        if body.isalpha() and (body.isascii() or max(body) < "ɐ"):
+            if len(stem) < len(chunk):
+                return self._cached(stem) + self._cached(chunk[len(stem) :])
+            ids = self._piece(chunk)
+        else:
+            ids = [i for p, _ in self.split.pre_tokenize_str(chunk) for i in self._piece(p)]
+        return array("I", ids).tobytes()
+
+    def _cached(self, chunk: str) -> bytes:
+        ids = self.cache.get(chunk)
+        if ids is None:
+            ids = self.cache[chunk] = self._chunk(chunk)
+        return ids
 
     def _lookup(self, chunks: list[str]) -> list[bytes]:
         if len(self.cache) + len(chunks) > self.limit:
             self.cache = {}
-        cache, out = self.cache, []
-        for chunk in chunks:
-            ids = cache.get(chunk)
-            if ids is None:
-                ids = cache[chunk] = self._chunk(chunk)
-            out.append(ids)
-        return out
+        found = list(map(self.cache.get, chunks))
+        for at in [i for i, ids in enumerate(found) if ids is None]:
+            # words with closing punctuation are put together from what is cached
+            found[at] = self._chunk(chunks[at]) if chunks[at][-1:] in _ENDS else self._cached(chunks[at])
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row (uint32) and where each text's ids begin; a null counts as empty."""
