@@ -81,14 +81,29 @@ def capped(keys: DataFrame, cap: int | None) -> DataFrame:
     return keys.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= cap).drop("_n")
 
 
-def candidate_pairs(keys: DataFrame, cap: int | None = None, max_pairs: int | None = None) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, hot: int | None = None) -> DataFrame:
+    """All rows of ``left`` beside those of ``right`` with the same key.
+
+    With ``hot`` a block of more rows of ``right`` is dealt over salts, so that at most about so many
+    rows of ``left`` meet the block in one task; the pairs are the same.
+    """
+    if not hot:
+        return left.join(right, ["kind", "key"])
+    salts = block_sizes(right).where(F.col("size") > hot).select("kind", "key", F.ceil(F.col("size") / hot).cast("int").alias("_n"))
+    n = F.coalesce("_n", F.lit(1))
+    dealt = left.join(salts, ["kind", "key"], "left").withColumn("_salt", F.pmod(F.xxhash64("vid_a"), n).cast("int")).drop("_n")
+    repeated = right.join(salts, ["kind", "key"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_n")
+    return dealt.join(repeated, ["kind", "key", "_salt"]).drop("_salt")
+
+
+def candidate_pairs(keys: DataFrame, cap: int | None = None, max_pairs: int | None = None, hot: int | None = None) -> DataFrame:
     """Distinct ``(vid_a, vid_b)``, ``vid_a < vid_b``, of records that share a key.
 
-    With ``max_pairs`` only so many, those of the smallest blocks first.
+    With ``max_pairs`` only so many, those of the smallest blocks first; ``hot`` as in ``meet``.
     """
     kept = capped(keys, cap)
     other = kept.withColumnRenamed("vid", "vid_b")
-    pairs = kept.withColumnRenamed("vid", "vid_a").join(other, ["kind", "key"]).where("vid_a < vid_b")
+    pairs = meet(kept.withColumnRenamed("vid", "vid_a"), other, hot).where("vid_a < vid_b")
     if not max_pairs:
         return pairs.select("vid_a", "vid_b").distinct()
     sized = pairs.join(block_sizes(kept), ["kind", "key"]).groupBy("vid_a", "vid_b").agg(F.min("size").alias("size"))

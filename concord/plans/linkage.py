@@ -12,6 +12,10 @@ from concord.operators import blocking, canonical, rules
 from concord.operators.components import connected_components
 
 
+#: Rows of a block of persons beyond which it is dealt over salts.
+HOT = 1000
+
+
 @dataclass
 class Linked:
     """Lazy results of a dedupe: records and all classified pairs; the rest is derived."""
@@ -43,10 +47,10 @@ class Linked:
 
     def summary(self) -> DataFrame:
         """One row a class: pairs, distinct ids on either side, hours at the given velocity."""
-        each = self.pairs.select("classification", "vid_a", "vid_b", F.explode(F.array("vid_a", "vid_b")).alias("vid"))
-        ids = each.groupBy("classification", "vid").agg(F.lit(1).alias("one")).groupBy("classification").agg(F.count("*").alias("vids"))
-        pairs = self.pairs.groupBy("classification").agg(F.count("*").alias("pairs"))
-        return pairs.join(ids, "classification").withColumn("hours", F.bround(F.col("vids") / F.lit(self.velocity), 1))
+        each = self.pairs.select("classification", F.explode(F.array(F.struct(F.col("vid_a").alias("vid"), F.lit(1).alias("own")), F.struct(F.col("vid_b").alias("vid"), F.lit(0).alias("own")))).alias("x"))
+        ids = each.groupBy("classification", "x.vid").agg(F.sum("x.own").alias("own"))
+        counts = ids.groupBy("classification").agg(F.sum("own").alias("pairs"), F.count("*").alias("vids"))
+        return counts.withColumn("hours", F.bround(F.col("vids") / F.lit(self.velocity), 1))
 
     def rule_counts(self) -> DataFrame:
         return self.pairs.groupBy("classification", "rule").agg(F.count("*").alias("pairs"))
@@ -101,7 +105,7 @@ def dedupe_organisations(df: DataFrame, cfg: dict) -> Linked:
 def dedupe_persons(df: DataFrame, cfg: dict, synonyms: dict[str, list[str]] | None = None) -> Linked:
     canon = canonical.persons(df, cfg, synonyms)
     b = cfg["blocking"]
-    pairs = blocking.candidate_pairs(blocking.person_keys(canon, cfg), b["cap"], b["max_pairs"])
+    pairs = blocking.candidate_pairs(blocking.person_keys(canon, cfg), b["cap"], b["max_pairs"], HOT)
     shared = canonical.shared_contacts(canon, cfg["shared_contact_threshold"])
     return Linked(canon, _person_classes(rules.paired(pairs, canon), cfg, shared), cfg["velocity_per_hour"])
 
