@@ -69,14 +69,16 @@ def id_shield(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The scalar functions over the first words of documents and over customers' names."""
+    """The scalar functions over whole documents and over parts' names; ``sound`` has the code of every word of a document."""
     words = F.split("text", "[^\\p{L}]+")
-    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.left("text", F.lit(60)).alias("x"), F.element_at(words, 1).alias("w"))
-    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat("p_name", F.lit(" Hospital - "), "p_brand").alias("x"), F.col("p_name").alias("w"))
+    # a separator at either end leaves an empty piece; a text without letters keeps one
+    words = F.coalesce(F.when(F.size(F.filter(words, lambda w: w != "")) > 0, F.filter(words, lambda w: w != "")), F.slice(words, 1, 1))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("x"), words.alias("w"))
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.concat("p_name", F.lit(" Hospital - "), "p_brand").alias("x"), F.array("p_name").alias("w"))
     rows = docs.unionByName(parts)
     x = F.col("x")
     return rows.select(
-        "id", X.norm_text(x).alias("norm"), F.length(X.digits(x)).alias("n_digits"), X.norm_phone(x).alias("phone"), X.norm_license(F.when(F.startswith("id", F.lit("p")), F.left(x, F.lit(12)))).alias("licence"), X.soundex_flat(F.regexp_replace(F.lower("w"), "[^a-z]", "")).alias("sound"),
+        "id", X.norm_text(x).alias("norm"), F.length(X.digits(x)).alias("n_digits"), X.norm_phone(x).alias("phone"), X.norm_license(F.when(F.startswith("id", F.lit("p")), F.left(x, F.lit(12)))).alias("licence"), F.array_join(F.transform("w", X.soundex_flat), " ").alias("sound"),
         X.norm_text(X.before_locality(x)).alias("stripped"), X.core_org_name(X.norm_text(X.before_locality(x))).alias("core"), X.acronym(X.norm_text(x)).alias("acronym"),
     )
 
