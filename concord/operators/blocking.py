@@ -110,8 +110,8 @@ def candidate_pairs(keys: DataFrame, cap: int | None = None, max_pairs: int | No
     return sized.orderBy("size", "vid_a", "vid_b").limit(max_pairs).select("vid_a", "vid_b")
 
 
-def probe_pairs(probe: DataFrame, reference: DataFrame, same_ids: bool = False) -> DataFrame:
-    """Distinct ``(vid_a, vid_b)``: a probe record and a reference record that share a key; no cap."""
+def probe_pairs(probe: DataFrame, reference: DataFrame, same_ids: bool = False, hot: int | None = None) -> DataFrame:
+    """Distinct ``(vid_a, vid_b)``: a probe record and a reference record that share a key; no cap.  ``hot`` as in ``meet``."""
     left, right = probe.withColumnRenamed("vid", "vid_a"), reference.withColumnRenamed("vid", "vid_b")
-    pairs = left.join(right, ["kind", "key"]).select("vid_a", "vid_b").distinct()
+    pairs = meet(left, right, hot).select("vid_a", "vid_b").distinct()
     return pairs if same_ids else pairs.where("vid_a <> vid_b")

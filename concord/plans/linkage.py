@@ -137,7 +137,7 @@ def best_matches(probe: DataFrame, classed: DataFrame) -> DataFrame:
 def screen_persons(requests: DataFrame, reference: DataFrame, cfg: dict, synonyms: dict | None = None) -> DataFrame:
     """Pre-screen of new records against a reference: AUTO and REVIEW only, never NOT_DUP rules."""
     probe, known = canonical.persons(requests, cfg, synonyms), canonical.persons(reference, cfg, synonyms)
-    pairs = blocking.probe_pairs(blocking.person_keys(probe, cfg), blocking.person_keys(known, cfg))
+    pairs = blocking.probe_pairs(blocking.person_keys(probe, cfg), blocking.person_keys(known, cfg), hot=HOT)
     shared = canonical.shared_contacts(known, cfg["shared_contact_threshold"])
     return best_matches(probe, _person_classes(rules.paired(pairs, probe, known), cfg, shared, negatives=False))
 
@@ -147,7 +147,7 @@ def match_external(source: DataFrame, reference: DataFrame, cfg: dict, synonyms:
     named = source.withColumn("vid", F.concat(F.lit("src:"), F.col("vid"))).drop("license_number", "license_body", "license_status")
     probe = canonical.persons(named, cfg, synonyms).where("name_canon <> ''")
     known = canonical.persons(reference, cfg, synonyms)
-    pairs = blocking.probe_pairs(blocking.person_keys(probe, cfg), blocking.person_keys(known, cfg), same_ids=True)
+    pairs = blocking.probe_pairs(blocking.person_keys(probe, cfg), blocking.person_keys(known, cfg), same_ids=True, hot=HOT)
     shared = canonical.shared_contacts(known, cfg["shared_contact_threshold"])
     return best_matches(probe, _person_classes(rules.paired(pairs, probe, known), cfg, shared, negatives=False))
 

@@ -5,8 +5,9 @@ from itertools import combinations
 
 import pytest
 
-from concord.operators import blocking
-from concord.plans import dedupe, linkage
+from concord.config import config
+from concord.operators import blocking, canonical, rules
+from concord.plans import dedupe, linkage, tables
 
 SEGMENTS, CITIES = ["BUILDING", "MACHINERY", "FURNITURE"], ["PERU", "CHINA", "KENYA", "INDIA"]
 
@@ -55,3 +56,26 @@ def test_salted_blocks_give_the_same_pairs(spark):
     keys = spark.createDataFrame([("k", "x", f"{i:03d}") for i in range(50)] + [("k", "y", f"{i:03d}") for i in range(5)], "kind string, key string, vid string")
     pairs = lambda hot: sorted(map(tuple, blocking.candidate_pairs(keys, hot=hot).collect()))
     assert pairs(7) == pairs(None) and len(pairs(7)) == 1225
+
+
+@pytest.mark.parametrize("external", [False, True])
+def test_every_customer_is_probed(spark, made, monkeypatch, external):
+    monkeypatch.setattr(linkage, "HOT", 20)
+    at, keys = made
+    cfg, rows = config(dedupe._PERSON), tables.persons(spark, at)
+    probe = canonical.persons(rows.drop("license_number", "license_body", "license_status") if external else rows, cfg)
+    known = canonical.persons(rows, cfg)
+    # an external record has no licence, hence no licence key; the classes come from all pairs, the keys from here
+    own = {v: {k for k in ks if k[0] != "licence"} for v, ks in keys.items()} if external else keys
+    pairs = [(a, b) for a in own for b in keys if own[a] & keys[b] and (external or a != b)]
+    everything = rules.paired(spark.createDataFrame(pairs, "vid_a string, vid_b string"), probe, known)
+    shared = canonical.shared_contacts(known, cfg["shared_contact_threshold"])
+    count, best = dict.fromkeys(keys, 0), {}
+    for r in linkage._person_classes(everything, cfg, shared, negatives=False).select("vid_a", "vid_b", "classification", "score", "nscore").collect():
+        if r.nscore >= linkage.NOISE and r.classification != "NOT_DUP":
+            auto = r.classification == "AUTO"
+            count[r.vid_a] += 1
+            best[r.vid_a] = min(best.get(r.vid_a, (1, 0, "")), (-auto, -(r.nscore if auto else r.score), r.vid_b))
+    got = (dedupe.person_external if external else dedupe.person_screen)(spark, at).collect()
+    assert {r.vid.removeprefix("src:"): (r.match_count, r.best_vid) for r in got} == {v: (n, best[v][2] if n else "") for v, n in count.items()}
+    assert len(got) == len(keys)
