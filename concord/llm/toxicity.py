@@ -3,7 +3,8 @@
 Either class has an interpolated Kneser-Ney model of a word's bytes, given up to ORDER - 1 bytes
 before, word edges included.  Orders up to SHARED are estimated from both classes together, so a
 rare expression, in either class, falls back to shared counts and says little for or against.  The
-counts live in tables indexed by hash; a table's size is fixed, so the model is broadcast whole.
+counts, of all labelled texts outside the held-out folds, are aggregated by the grams' 64-bit hashes;
+the model, broadcast whole, has an entry a distinct gram.
 
 A text is judged by length-normalised log-likelihood ratios of the classes: over all its words, and
 over its most telling word and words.  A logistic curve fitted on a fold that the counts leave out
@@ -24,11 +25,11 @@ from concord.llm import kernels
 from concord.llm.folds import fold
 from concord.session import table
 
-#: Labelled rows of each class that are learned from, at most; the lowest hashes are taken.
+#: Labelled rows of each class that the logistic curve is fitted on, at most; the lowest hashes are taken.
 MAX_LABELLED = 16_384
 ORDER, SHARED = 6, 2
-#: log2 of the table sizes of orders 1 to ORDER.
-BITS = (8, 16, 18, 19, 20, 20)
+#: Distinct grams that a task holds before it passes their counts on.
+HELD = 1 << 20
 DISCOUNT = 0.75
 #: Log-likelihood ratio from which a word counts as telling.
 TELLING = 2.0
@@ -39,7 +40,7 @@ _BYTES = _rng.integers(1, 2**63, (ORDER, 256), dtype=np.uint64)
 class Grams:
     """The byte n-grams of distinct lower-cased words, each between two spaces.
 
-    For each order: which bytes have a gram that long, its table slot, and the slot of its context.
+    For each order: which bytes have a gram that long, its hash, and the hash of its context.
     """
 
     def __init__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray):
@@ -56,16 +57,40 @@ class Grams:
         self.sums = [np.zeros(total, dtype=np.uint64)]
         for k in range(ORDER):
             shifted = np.zeros(total, dtype=np.uint64)
-            shifted[k:] = _BYTES[k][text[: total - k]] if k else _BYTES[0][text]
+            shifted[k:] = _BYTES[k][text[: max(total - k, 0)]]
             self.sums.append(self.sums[-1] + shifted)
 
     def at(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         where = np.flatnonzero((self.place > 0) & (self.place >= k - 1))
-        return where, slot(self.sums[k][where], k), slot(self.sums[k - 1][where - 1], k, 50)
-
+        return where, kernels.mix(self.sums[k][where], k), kernels.mix(self.sums[k - 1][where - 1], k + 50)
+
+
+class Lookup:
+    """Values by 64-bit hash; absent ones have ``default``.  Hashes are uniform, so few share their leading bits."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, default: float, like: Lookup | None = None):
+        self.values = np.append(values, default).astype(np.float32)
+        if like is not None:
+            self.keys, self.shift, self.first = like.keys, like.shift, like.first
+            return
+        bits = max(1, len(keys).bit_length())
+        self.keys, self.shift = keys, np.uint64(64 - bits)
+        self.first = np.searchsorted(keys >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def at(self, wanted: np.ndarray) -> np.ndarray:
+        """Index of each hash, or of the default."""
+        lead = (wanted >> self.shift).astype(np.int64)
+        out = np.full(len(wanted), len(self.keys), dtype=np.int32)
+        place, end, live = self.first[lead], self.first[lead + 1], np.arange(len(wanted))
+        while len(live := live[place[live] < end[live]]):
+            hit = self.keys[place[live]] == wanted[live]
+            out[live[hit]] = place[live[hit]]
+            live = live[~hit]
+            place[live] += 1
+        return out
 
-def slot(sums: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
-    return (kernels.mix(sums, k + salt) >> np.uint64(64 - BITS[k - 1])).astype(np.int64)
+    def __getitem__(self, wanted: np.ndarray) -> np.ndarray:
+        return self.values[self.at(wanted)]
 
 
 def distinct_words(raw: np.ndarray, offsets: np.ndarray):
@@ -76,27 +101,25 @@ def distinct_words(raw: np.ndarray, offsets: np.ndarray):
 
 
 def counted(examples: DataFrame) -> dict[int, dict[str, np.ndarray]]:
-    """Merged tables of all grams: counts by class, and the slots of context and shorter gram.
+    """All grams by order, sorted by hash: counts by class, and the hashes of shorter gram and context.
 
-    ``examples``: text, toxic (0 or 1).  Tasks send what they have seen; the merged tables, whose
-    sizes are fixed by BITS, come to the driver.
+    ``examples``: text, toxic (0 or 1).  Tasks send the counts of what they have seen, Spark adds
+    them up by gram, and the distinct grams come to the driver as Arrow columns.
     """
-    schema = "k int, slot binary, n0 binary, n1 binary, suffix binary, context binary"
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = ["k", "gram", "n0", "n1", "suffix", "context"]
+    schema = ", ".join(f"{n} {'int' if n == 'k' else 'long'}" for n in names)
 
-    def empty(k: int) -> list[np.ndarray]:
-        return [np.zeros(1 << BITS[k - 1], dtype=np.int64) for _ in range(4)]
+    def summed(parts: list[tuple]) -> tuple:
+        gram, n0, n1, suffix, context = (np.concatenate(x) for x in zip(*parts, strict=True))
+        keys, first, back = np.unique(gram, return_index=True, return_inverse=True)
+        add = lambda n: np.bincount(back, n, minlength=len(keys)).astype(np.int64)
+        return keys, add(n0), add(n1), suffix[first], context[first]
 
-    def packed(tables: dict[int, list[np.ndarray]]) -> pa.RecordBatch:
-        columns: list[list] = [[] for _ in names]
-        for k, (n0, n1, suffix, context) in tables.items():
-            at = np.flatnonzero(n0 + n1)
-            for column, value in zip(columns, (k, at, n0[at], n1[at], suffix[at], context[at]), strict=True):
-                column.append(value if isinstance(value, int) else np.minimum(value, 2**32 - 1).astype("<u4").tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=names)
+    def packed(k: int, data: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(data[0]), k, dtype=np.int32)), *(pa.array(x.view(np.int64)) for x in data)], names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, list[np.ndarray]] = {}
+        held: dict[int, tuple] = {}
         for whole in batches:
             for batch in kernels.slices(whole, "text"):
                 raw, offsets = kernels.utf8(batch.column(0))
@@ -106,61 +129,59 @@ def counted(examples: DataFrame) -> dict[int, dict[str, np.ndarray]]:
                     continue
                 label = np.repeat(toxic, np.diff(firsts))
                 grams = Grams(raw, starts, ends)
-                weights = [np.bincount(back[label == c], minlength=len(starts)).astype(np.float64) for c in (0, 1)]
+                weights = [np.bincount(back[label == c], minlength=len(starts)) for c in (0, 1)]
                 for k in range(1, ORDER + 1):
-                    own = tables.setdefault(k, empty(k))
-                    where, slots, contexts = grams.at(k)
-                    for c in (0, 1):
-                        own[c] += np.bincount(slots, weights[c][grams.word[where]], minlength=len(own[c])).astype(np.int64)
-                    if k > 1:
-                        own[2][slots] = np.maximum(own[2][slots], slot(grams.sums[k - 1][where], k - 1))
-                    own[3][slots] = np.maximum(own[3][slots], contexts)
-        if tables:
-            yield packed(tables)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for k, *data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = tables.setdefault(k, empty(k))
-                at, n0, n1, suffix, context = (np.frombuffer(x, dtype="<u4").astype(np.int64) for x in data)
-                own[0][at] += n0
-                own[1][at] += n1
-                own[2][at] = np.maximum(own[2][at], suffix)
-                own[3][at] = np.maximum(own[3][at], context)
-        if tables:
-            yield packed(tables)
-
-    parts = examples.mapInArrow(count, schema).repartition("k").mapInArrow(merge, schema)
-    return {r["k"]: {n: np.frombuffer(r[n], dtype="<u4").astype(np.int64) for n in names[1:]} for r in parts.collect()}
+                    where, keys, contexts = grams.at(k)
+                    shorter = kernels.mix(grams.sums[k - 1][where], k - 1)
+                    new = (keys, *(w[grams.word[where]] for w in weights), shorter, contexts)
+                    held[k] = summed([held[k], new] if k in held else [new])
+                if sum(len(x[0]) for x in held.values()) > HELD:
+                    yield from (packed(k, x) for k, x in held.items())
+                    held = {}
+        yield from (packed(k, x) for k, x in held.items())
+
+    parts = examples.mapInArrow(count, schema).groupBy("k", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.first("suffix").alias("suffix"), F.first("context").alias("context"))
+    found = parts.select(*names).toArrow()
+    columns = {n: found.column(n).to_numpy() for n in names}
+    out = {}
+    for k in np.unique(columns["k"]).tolist():
+        own = np.flatnonzero(columns["k"] == k)
+        own = own[np.argsort(columns["gram"][own].view(np.uint64))]
+        out[k] = {n: columns[n][own].view(np.uint64) if n in ("gram", "suffix", "context") else columns[n][own] for n in names[1:]}
+    return out
 
 
 class KneserNey:
     """Discounted shares of seen grams and back-off weights of contexts, by class and order."""
 
     def __init__(self, tables: dict[int, dict[str, np.ndarray]]):
-        self.share: list[list[np.ndarray]] = []
-        self.backoff: list[list[np.ndarray]] = []
+        none = np.zeros(0, dtype=np.uint64)
+        own = lambda k, n: tables[k][n] if k in tables else none
+        grams = [Lookup(own(k, "gram"), np.zeros(len(own(k, "gram"))), 0) for k in range(1, ORDER + 1)]
+        contexts = [np.unique(own(k, "context"), return_inverse=True) for k in range(1, ORDER + 1)]
+        before = [Lookup(keys, np.ones(len(keys)), 1) for keys, _ in contexts]
+        self.share: list[list[Lookup]] = []
+        self.backoff: list[list[Lookup]] = []
         for c in (0, 1):
             shares, weights = [], []
             for k in range(1, ORDER + 1):
-                size = 1 << BITS[k - 1]
-                counts = self._counts(tables, c, k)
-                share, weight = np.zeros(size, dtype=np.float32), np.ones(size, dtype=np.float32)
-                if k in tables and counts.any():
-                    at, context, seen = tables[k]["slot"], tables[k]["context"], counts > 0
-                    total = np.bincount(context, counts, minlength=size)
-                    kinds = np.bincount(context, seen, minlength=size)
+                keys, context = contexts[k - 1]
+                counts = self._counts(tables, grams, c, k)
+                share, weight = np.zeros(len(counts)), np.ones(len(keys))
+                if counts.any():
+                    seen = counts > 0
+                    total = np.bincount(context, counts, minlength=len(keys))
+                    kinds = np.bincount(context, seen, minlength=len(keys))
                     full = total > 0
-                    share[at[seen]] = (np.maximum(counts - DISCOUNT, 0)[seen] / total[context[seen]]).astype(np.float32)
-                    weight[full] = (DISCOUNT * kinds[full] / total[full]).astype(np.float32)
-                shares.append(share)
-                weights.append(weight)
+                    share[seen] = np.maximum(counts - DISCOUNT, 0)[seen] / total[context[seen]]
+                    weight[full] = DISCOUNT * kinds[full] / total[full]
+                shares.append(Lookup(none, share, 0, grams[k - 1]))
+                weights.append(Lookup(none, weight, 1, before[k - 1]))
             self.share.append(shares)
             self.backoff.append(weights)
 
     @staticmethod
-    def _counts(tables, c: int, k: int) -> np.ndarray:
+    def _counts(tables, grams: list[Lookup], c: int, k: int) -> np.ndarray:
         """Counts at the top order, kinds of bytes before a gram below it, both classes' at shared orders."""
         if k not in tables:
             return np.zeros(0)
@@ -168,23 +189,26 @@ class KneserNey:
         if k == ORDER:
             return own[f"n{c}"].astype(np.float64)
         above = tables.get(k + 1)
-        kinds = np.zeros(1 << BITS[k - 1])
+        kinds = np.zeros(len(own["gram"]))
         for d in (0, 1) if k <= SHARED else (c,):
             # word beginnings have no byte before them: their own counts, as of one kind more
-            kinds[own["slot"]] += own[f"n{d}"] > 0
+            kinds += own[f"n{d}"] > 0
             if above is not None:
-                kinds += np.bincount(above["suffix"], above[f"n{d}"] > 0, minlength=len(kinds))
-        return kinds[own["slot"]]
+                kinds += np.bincount(grams[k - 1].at(above["suffix"]), above[f"n{d}"] > 0, minlength=len(kinds))[: len(kinds)]
+        return kinds
 
     def words(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Log-likelihood ratio, toxic over ordinary, of each word."""
         grams = Grams(raw, starts, ends)
         logs = np.zeros(len(grams.word), dtype=np.float32)
-        places = [grams.at(k) for k in range(1, ORDER + 1)]
+        places = []
+        for k in range(1, ORDER + 1):
+            where, keys, contexts = grams.at(k)
+            places.append((where, self.share[0][k - 1].at(keys), self.backoff[0][k - 1].at(contexts)))
         for c, sign in ((1, 1), (0, -1)):
             p = np.full(len(logs), 1 / 256, dtype=np.float32)
             for k, (where, slots, contexts) in enumerate(places):
-                p[where] = self.share[c][k][slots] + self.backoff[c][k][contexts] * p[where]
+                p[where] = self.share[c][k].values[slots] + self.backoff[c][k].values[contexts] * p[where]
             logs += sign * np.log(p)
         logs[grams.place == 0] = 0
         return np.add.reduceat(logs, grams.first) if len(starts) else np.zeros(0, dtype=np.float32)
@@ -232,17 +256,18 @@ class Model:
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5) -> Model:
     """Learn from labelled rows outside fold 0: counts from folds 1 to ``folds`` - 2, the curve from the last.
 
-    At most ``MAX_LABELLED`` labels of each class, those of lowest hash, are used; as they are few
-    they go to the texts, not the texts to them.  Labels that are null, or contradict each other,
-    teach nothing.  Without examples of both classes every score is 0.
+    The counts are of all those rows; the curve is fitted on at most ``MAX_LABELLED`` labels of each
+    class, those of lowest hash.  Labels that are null, or contradict each other, teach nothing.
+    Without examples of both classes every score is 0.
     """
     clean = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(key, folds) != 0)).groupBy(key).agg(F.min(label).alias("toxic"), F.max(label).alias("_most")).where("toxic = _most").drop("_most")
+    texts = docs.select(key, F.col(text).alias("text"))
+    models = KneserNey(counted(texts.where(fold(key, folds) != folds - 1).join(clean.where(fold(key, folds) != folds - 1), key).select("text", "toxic")))
     few = None
     for c in (0, 1):
-        own = clean.where(F.col("toxic") == c).orderBy(F.xxhash64(key, F.lit(5)), key).limit(MAX_LABELLED)
+        own = clean.where((F.col("toxic") == c) & (fold(key, folds) == folds - 1)).orderBy(F.xxhash64(key, F.lit(5)), key).limit(MAX_LABELLED)
         few = own if few is None else few.unionByName(own)
-    examples = docs.select(key, F.col(text).alias("text")).join(F.broadcast(few), key)  # 2 * MAX_LABELLED rows at most
-    models = KneserNey(counted(examples.where(fold(key, folds) != folds - 1).select("text", "toxic")))
+    examples = texts.join(F.broadcast(few), key)  # 2 * MAX_LABELLED rows at most
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +275,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             for batch in kernels.slices(whole, "text"):
                 yield pa.RecordBatch.from_arrays([pa.array(list(sent.value.features(batch.column(0))), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
-    rows = examples.where(fold(key, folds) == folds - 1).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "x array<double>, toxic int").collect()
+    rows = examples.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "x array<double>, toxic int").collect()
     y = np.array([r["toxic"] for r in rows], dtype=np.float64)
     if not len(rows) or not 0 < y.sum() < len(y):
         return Model(models, np.zeros(4), -30.0)
