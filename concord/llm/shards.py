@@ -10,6 +10,12 @@ A version is a manifest (a Parquet table) and a pointer file.  The pointer is re
 the rename fails if that version exists: of two writers one commits, the other must plan again.
 Readers see a version or the next, never files in between.  After a compaction the live runs are at
 most ``fanout`` - 1 a tier, so what the driver plans on grows with the logarithm of the store.
+
+A writer announces its folder under ``pending`` before it writes and takes that back once its version
+is live, so that ``vacuum`` leaves alone what is still to be committed.
+
+Rows are kept as they come: null keys and texts, empty and very long texts and repeated rows are rows
+like others.  The columns that the store adds are RESERVED; a frame that has one of them is refused.  A store without rows reads as an empty frame of the columns first appended.
 """
 
 from __future__ import annotations
@@ -23,6 +29,8 @@ from pyspark.sql import functions as F
 
 from concord.session import shared_dir, table
 
+#: Columns that the store adds to what it reads, and writes its folders by.
+RESERVED = ("run", "tier", "run_rows", "run_bytes", "_run", "_file")
 MANIFEST = "run string, first long, arrivals long, tier int, rows long, bytes long, path string"
 
 
@@ -103,7 +111,8 @@ class ShardStore:
         """Make ``runs`` version ``version``; raises CommitConflict where it exists already."""
         name = uuid.uuid4().hex
         rows = [(r.run, r.first, r.arrivals, r.tier, r.rows, r.bytes, r.path) for r in runs]
-        values = ", ".join(f"('{a}', {b}L, {c}L, {d}, {e}L, {f}L, '{g}')" for a, b, c, d, e, f, g in rows)
+        said = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        values = ", ".join(f"({said(a)}, {b}L, {c}L, {d}, {e}L, {f}L, {said(g)})" for a, b, c, d, e, f, g in rows)
         frame = self.spark.sql(f"select * from values {values} as t(run, first, arrivals, tier, rows, bytes, path)") if rows else self.spark.sql("select '' as run, 0L as first, 0L as arrivals, 0 as tier, 0L as rows, 0L as bytes, '' as path where false")
         frame.coalesce(1).write.parquet(f"{self.path}/manifests/{name}")
         self._fs.mkdirs(self._path(f"{self.path}/versions"))
@@ -126,8 +135,15 @@ class ShardStore:
         return version
 
     def _measured(self, folder: str) -> dict[str, tuple[int, int]]:
-        found = self.spark.read.parquet(folder).groupBy("run").agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(self.text)), F.lit(0)).alias("bytes"))
-        return {str(r["run"]): (r["rows"], r["bytes"]) for r in found.collect()}
+        found = self.spark.read.parquet(folder).groupBy("_run").agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length(self.text)), F.lit(0)).alias("bytes"))
+        return {str(r["_run"]): (r["rows"], r["bytes"]) for r in found.collect()}
+
+    def _folder(self) -> tuple[str, object]:
+        """A new data folder, announced as pending."""
+        name = uuid.uuid4().hex
+        mark = self._path(f"{self.path}/pending/{name}")
+        self._fs.create(mark, False).close()
+        return f"{self.path}/data/{name}", mark
 
     # writing
     def append(self, df: DataFrame, arrival: Column | None = None) -> int:
@@ -135,50 +151,77 @@ class ShardStore:
 
         Nothing is shuffled: each task writes its rows as they come.  An empty frame appends nothing.
         """
+        taken = [c for c in df.columns if c.lower() in RESERVED]
+        if taken:
+            raise ValueError(f"columns of the store's own names: {taken}")
         before, known = self.runs(), self.versions()
+        if not self._fs.exists(self._path(f"{self.path}/columns")):
+            df.limit(0).write.mode("ignore").parquet(f"{self.path}/columns")
         start = max((r.first + r.arrivals for r in before), default=0)
-        folder = f"{self.path}/data/{uuid.uuid4().hex}"
+        folder, mark = self._folder()
         number = (F.lit(0) if arrival is None else arrival) + F.lit(start)
-        df.withColumn("run", F.concat(F.lit("r"), number.cast("long").cast("string"), F.lit("x1"))).write.partitionBy("run").option("compression", "zstd").parquet(folder)
-        have = self._measured(folder) if self._fs.globStatus(self._path(f"{folder}/run=*")) else {}
-        made = [Run(name, int(name[1:].split("x")[0]), 1, tier_of(size, self.base, self.fanout), rows, size, f"{folder}/run={name}") for name, (rows, size) in have.items()]
-        return self.commit([*before, *made], (known[-1] if known else 0) + 1)
+        df.withColumn("_run", F.concat(F.lit("r"), number.cast("long").cast("string"), F.lit("x1"))).write.partitionBy("_run").option("compression", "zstd").parquet(folder)
+        have = self._measured(folder) if self._fs.globStatus(self._path(f"{folder}/_run=*")) else {}
+        made = [Run(name, int(name[1:].split("x")[0]), 1, tier_of(size, self.base, self.fanout), rows, size, f"{folder}/_run={name}") for name, (rows, size) in have.items()]
+        version = self.commit([*before, *made], (known[-1] if known else 0) + 1)
+        self._fs.delete(mark, False)
+        return version
 
     def compact(self) -> int:
-        """Merge until no tier holds ``fanout`` runs; returns the version that is then live."""
+        """Merge until no tier holds ``fanout`` runs; returns the version that is then live.
+
+        Each target file is a task of its own: files are numbered, and rows go to the task of their file's number.
+        """
         before, known = self.runs(), self.versions()
         after, merged = plan(before, self.base, self.fanout)
         if not merged:
             return known[-1] if known else 0
-        folder = f"{self.path}/data/{uuid.uuid4().hex}"
+        folder, mark = self._folder()
         home = {part.run: r for r in after if r.run in merged for part in merged[r.run]}
-        files = {r.run: max(1, math.ceil(r.bytes / self.target)) for r in after if r.run in merged}
+        files, first, total = {}, {}, 0
+        for r in after:
+            if r.run in merged:
+                files[r.run], first[r.run] = max(1, math.ceil(r.bytes / self.target)), total
+                total += files[r.run]
         # a run is a few names: maps of live runs, whose number is bounded by the tiers
-        into = F.create_map(*[F.lit(x) for name, r in home.items() for x in (name, r.run)])
-        parts = F.create_map(*[F.lit(x) for name, n in files.items() for x in (name, n)])
-        rows = self._read([p for own in merged.values() for p in own]).withColumn("run", into[F.col("run")])
-        rows = rows.withColumn("file", F.pmod(F.xxhash64(self.key, self.text), parts[F.col("run")]))
-        rows.repartition(max(1, sum(files.values())), "run", "file").write.partitionBy("run", "file").option("compression", "zstd").parquet(folder)
-        done = [Run(r.run, r.first, r.arrivals, r.tier, r.rows, r.bytes, f"{folder}/run={r.run}") if r.run in merged else r for r in after]
-        return self.commit(done, known[-1] + 1)
-
-    def vacuum(self) -> None:
-        """Delete the data of runs that the live version does not hold; older versions can no longer be read."""
-        live = {r.path for r in self.runs()}
-        for s in self._fs.globStatus(self._path(f"{self.path}/data/*/run=*")) or []:
-            if not any(s.getPath().toString().endswith(p.split("://")[-1]) for p in live):
+        of = lambda pick: F.create_map(*[F.lit(x) for name, r in home.items() for x in (name, pick(r.run))])[F.col("run")]
+        rows = self._read([p for own in merged.values() for p in own])
+        spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), of(files.get)).cast("int")
+        rows = rows.withColumns({"_run": of(str), "_file": of(first.get) + spread}).drop("run")
+        rows.repartitionById(total, "_file").write.partitionBy("_run", "_file").option("compression", "zstd").parquet(folder)
+        done = [Run(r.run, r.first, r.arrivals, r.tier, r.rows, r.bytes, f"{folder}/_run={r.run}") if r.run in merged else r for r in after]
+        version = self.commit(done, known[-1] + 1)
+        self._fs.delete(mark, False)
+        return version
+
+    def vacuum(self, grace: float = 24.0) -> None:
+        """Delete the data of runs that the live version does not hold; older versions can no longer be read.
+
+        Folders announced as pending stay, unless they were announced more than ``grace`` hours ago.
+        """
+        import time
+
+        least = (time.time() - grace * 3600) * 1000
+        waiting = {s.getPath().getName() for s in self._fs.globStatus(self._path(f"{self.path}/pending/*")) or [] if s.getModificationTime() >= least}
+        found = self._fs.globStatus(self._path(f"{self.path}/data/*/_run=*")) or []
+        live = {r.path for r in self.runs()}  # read after the listing, so that what was committed meanwhile is live
+        for s in found:
+            if s.getPath().getParent().getName() not in waiting and not any(s.getPath().toString().endswith(p.split("://")[-1]) for p in live):
                 self._fs.delete(s.getPath(), True)
 
     # reading
     def _read(self, runs: list[Run]) -> DataFrame:
         rows = self.spark.read.option("recursiveFileLookup", "true").parquet(*[r.path for r in runs])
-        return rows.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), "/run=([^/]+)/", 1))
+        return rows.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), "/_run=([^/]+)/", 1))
 
     def read(self, version: int | None = None) -> DataFrame:
         """The rows of a version (default: the live one) with their ``run`` and its ``tier``, rows and bytes."""
         live = [r for r in self.runs(version) if r.rows]
         if not live:
-            raise ValueError("the store holds no rows")
+            if not self._fs.exists(self._path(f"{self.path}/columns")):
+                raise ValueError("nothing was ever appended to the store")
+            none = self.spark.read.parquet(f"{self.path}/columns").limit(0)
+            return none.withColumns({"run": F.lit(""), "tier": F.lit(0), "run_rows": F.lit(0).cast("long"), "run_bytes": F.lit(0).cast("long")})
         pick = lambda f: F.create_map(*[F.lit(x) for r in live for x in (r.run, f(r))])[F.col("run")]
         return self._read(live).withColumns({"tier": pick(lambda r: r.tier), "run_rows": pick(lambda r: r.rows), "run_bytes": pick(lambda r: r.bytes)})
 

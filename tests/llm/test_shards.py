@@ -36,3 +36,23 @@ def test_store(spark, tmp_path):
         store.commit([], version)
     store.vacuum()
     assert store.read().count() == len(before)
+    with pytest.raises(ValueError):
+        store.append(rows.withColumnRenamed("run_rows", "tier"))
+
+
+def test_vacuum_spares_what_is_pending_and_quotes(spark, tmp_path):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/it's", base=10, fanout=2, target=50)
+    rows = spark.createDataFrame([(i, "x" * 9) for i in range(10)], "doc_id long, text string")
+    store.append(rows)
+    folder, _ = store._folder()
+    rows.withColumn("_run", F.lit("r9x1")).write.partitionBy("_run").parquet(folder)
+    store.vacuum()
+    assert spark.read.parquet(folder).count() == 10 and store.read().count() == 10
+    store.vacuum(grace=-1)
+    assert not list(tmp_path.glob("it's/data/*/_run=r9x1"))
+
+
+def test_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = shards.op1_shards(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns == ["doc_id", "text_md5", "run_id", "tier", "run_rows", "run_bytes", "version"]
