@@ -3,7 +3,8 @@
 The URLs that a rule judges are the labelled ones; the trees are trained on a bounded sample of them
 and judge the rest.  Features come from the URL's text by built-in expressions: lengths, depth,
 ratios, character entropy, parameter counts, and how often labelled URLs with the same host suffix
-were blocked, smoothed.  Those statistics cover all labelled rows.
+were blocked, smoothed.  Those statistics cover all labelled rows; a row that the trees learn from has
+them from the other folds only, so that they do not tell it its own label.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ MAX_TRAIN = 10_000
 TREES, DEPTH = 12, 4
 #: Weight of the overall share in a suffix's block rate.
 SMOOTH = 5.0
+#: Folds by the URL's hash; a learning row's statistics leave its own fold out.
+FOLDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SYMBOLS = _LOWER + "0123456789" + "-._/?=&%:#~+"
 
@@ -54,8 +57,11 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     count = lambda of, symbol: (F.length(of) - F.length(F.replace(of, F.lit(symbol), F.lit("")))).cast("double")
     plain = F.translate(text, _UPPER, _LOWER)
     shares = [count(plain, s) / n for s in _SYMBOLS]
-    known = sum(shares[1:], shares[0])
-    terms = [F.when(s > 0, -s * F.log2(s)).otherwise(F.lit(0.0)) for s in [*shares, F.lit(1.0) - known]]
+    terms = [F.when(s > 0, -s * F.log2(s)).otherwise(F.lit(0.0)) for s in shares]
+    # the few characters that are no symbol, each by its own share
+    rest = F.translate(plain, _SYMBOLS, "")
+    others = F.filter(F.array_distinct(F.split(rest, "")), lambda c: c != "")
+    beyond = F.aggregate(others, F.lit(0.0), lambda acc, c: acc - ((F.length(rest) - F.length(F.replace(rest, c, F.lit("")))) / n) * F.log2((F.length(rest) - F.length(F.replace(rest, c, F.lit("")))) / n))
     digits = F.length(F.regexp_replace(text, "[^0-9]", "")).cast("double")
     return {
         "length": n,
@@ -65,7 +71,7 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
         "labels": count(host, "."),
         "digit_ratio": digits / n,
         "hyphens": count(text, "-"),
-        "entropy": sum(terms[1:], terms[0]),
+        "entropy": sum(terms[1:], terms[0]) + F.when(rest == "", F.lit(0.0)).otherwise(beyond),
         "parameters": F.when(F.contains(text, F.lit("?")), count(text, "&") + 1).otherwise(F.lit(0.0)),
         "assignments": count(text, "="),
         "fragment": F.contains(text, F.lit("#")).cast("double"),
@@ -74,10 +80,30 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
-def _block_rates(rows: DataFrame, by: str) -> DataFrame:
-    """Smoothed share of blocked URLs for each labelled value of ``by``."""
-    overall = rows.agg(F.avg("_block")).first()[0]
-    return rows.where(F.col(by).isNotNull()).groupBy(by).agg(((F.sum("_block") + F.lit(SMOOTH * overall)) / (F.count("*") + F.lit(SMOOTH))).alias(f"{by}_rate"), F.log1p(F.count("*").cast("double")).alias(f"{by}_known"))
+def _fold(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit(17)), F.lit(FOLDS))
+
+
+def _rate(blocked: Column, rows: Column, overall: Column) -> tuple[Column, Column]:
+    """Smoothed block rate of a suffix, and how well it is known."""
+    n = F.greatest(F.coalesce(rows, F.lit(0)), F.lit(0)).cast("double")
+    return (F.coalesce(blocked, F.lit(0.0)) + F.lit(SMOOTH) * overall) / (n + F.lit(SMOOTH)), F.log1p(n)
+
+
+def with_rates(rows: DataFrame, labelled: DataFrame, suffixes: list[str], out_of_fold: bool) -> DataFrame:
+    """Add ``<suffix>_rate`` and ``<suffix>_known`` from all labelled rows, or from those of the other folds."""
+    # one number for all rows, so that it tells no label
+    overall = F.lit(labelled.agg(F.coalesce(F.avg("_block"), F.lit(0.5))).first()[0])
+    rows = rows.withColumn("_fold", _fold(F.col("_url")))
+    for by in suffixes:
+        known = labelled.where(F.col(by).isNotNull())
+        rows = rows.join(known.groupBy(by).agg(F.sum("_block").alias("_b"), F.count("*").alias("_n")), by, "left")
+        if out_of_fold:
+            rows = rows.join(known.groupBy(by, _fold(F.col("_url")).alias("_fold")).agg(F.sum("_block").alias("_ob"), F.count("*").alias("_on")), [by, "_fold"], "left")
+            rows = rows.withColumns({"_b": F.col("_b") - F.coalesce("_ob", F.lit(0.0)), "_n": F.col("_n") - F.coalesce("_on", F.lit(0))}).drop("_ob", "_on")
+        rate, known_ = _rate(F.col("_b"), F.col("_n"), overall)
+        rows = rows.withColumns({f"{by}_rate": rate, f"{by}_known": known_}).drop("_b", "_n")
+    return rows.drop("_fold")
 
 
 def judge(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", threshold: float = 0.5) -> DataFrame:
@@ -85,7 +111,8 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", thresho
 
     Without labelled URLs of both kinds every other URL gets the one verdict there is, or ``allow``.
     Null URLs and such without ``://`` have an empty host and path and are judged by the trees.
-    Columns of these names are replaced.
+    Columns of these names are replaced.  Repeated rows are judged alike, each in its own row; an empty
+    table gives an empty result.
     """
     host, path = host_path(F.col("_url"))
     rule, verdict = rule_of(F.col("_host"), F.col("_path"), rules)
@@ -99,22 +126,21 @@ def judge(df: DataFrame, rules: list[tuple[str, str]], url: str = "url", thresho
     if len(kinds) < 2:
         only = BLOCK if kinds == {1.0} else ALLOW
         return rows.select(*out(F.coalesce("_said", F.lit(only)), F.lit(None).cast("double")))
-    rates = {by: cut(_block_rates(labelled, by), "rates") for by in ("tld", "site", "section")}
-    names = [*lexical(F.col("_url"), F.col("_host"), F.col("_path")), *[f"{by}_{x}" for by in rates for x in ("rate", "known")]]
+    suffixes = ["tld", "site", "section"]
+    labelled = cut(labelled, "labelled")
+    names = [*lexical(F.col("_url"), F.col("_host"), F.col("_path")), *[f"{by}_{x}" for by in suffixes for x in ("rate", "known")]]
 
-    def featured(frame: DataFrame) -> DataFrame:
-        for by, rate in rates.items():
-            frame = frame.join(rate, by, "left")
-        frame = frame.na.fill(0.5, [f"{by}_rate" for by in rates]).na.fill(0.0, [f"{by}_known" for by in rates])
+    def featured(frame: DataFrame, learning: bool) -> DataFrame:
+        frame = with_rates(frame, labelled, suffixes, learning)
         return VectorAssembler(inputCols=names, outputCol="_features").transform(frame.withColumns(lexical(F.col("_url"), F.col("_host"), F.col("_path"))))
 
     few = None
     for kind in (0.0, 1.0):
         own = labelled.where(F.col("_block") == kind).orderBy(F.xxhash64("_url"), "_url").limit(MAX_TRAIN)
         few = own if few is None else few.unionByName(own)
-    sample = cut(featured(few).select("_features", "_block"), "sample").coalesce(2)
+    sample = cut(featured(few, True).select("_features", "_block"), "sample").coalesce(2)
     model = GBTClassifier(featuresCol="_features", labelCol="_block", predictionCol="_predicted", maxIter=TREES, maxDepth=DEPTH, seed=7).setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(sample)
-    rest = model.transform(featured(rows.where("_said is null"))).withColumn("_score", vector_to_array("_probability")[1])
+    rest = model.transform(featured(rows.where("_said is null"), False)).withColumn("_score", vector_to_array("_probability")[1])
     judged = rest.select(*out(F.when(F.col("_score") >= threshold, F.lit(BLOCK)).otherwise(F.lit(ALLOW)), F.col("_score")))
     return judged.unionByName(rows.where("_said is not null").select(*out(F.col("_said"), F.lit(None).cast("double"))))
 

@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from concord.llm import urls
@@ -36,3 +40,58 @@ def test_trees_learn(spark):
     rows = urls.judge(df, rules).where("rule is null").collect()
     right = sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in rows)
     assert len(rows) == 540 and right / len(rows) > 0.98
+
+
+def test_lexical_features_alone_tell(spark):
+    """Every URL has a site and a section of its own; only its digits and parameters tell the verdict."""
+    rng = random.Random(5)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    rows, rules = [], []
+    for i in range(700):
+        bad, host = i % 2, f"{letters(9)}{i}.{letters(3)}x"
+        tail = "".join(rng.choice("0123456789") for _ in range(20)) + f"?a={i}&b=2" if bad else letters(22)
+        rows.append((i, f"http://{host}/{letters(8)}{i}/{tail}"))
+        if i < 100:
+            rules.append((f"{host}/", "block" if bad else "allow"))
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), rules).where("rule is null").collect()
+    assert len(got) == 600 and sum((r.verdict == "block") == bool(r.page_id % 2) for r in got) / 600 > 0.97
+
+
+def test_out_of_fold_rates(spark):
+    rng = random.Random(2)
+    rows = [(f"http://s{rng.randrange(4)}.net/{i}", rng.randrange(2)) for i in range(80)]
+    df = spark.createDataFrame([(u, u.split("/")[2], float(b)) for u, b in rows], "_url string, site string, _block double")
+    folds = {r["_url"]: r["f"] for r in df.select("_url", urls._fold(F.col("_url")).alias("f")).collect()}
+    got = {r["_url"]: (r["site_rate"], r["site_known"]) for r in urls.with_rates(df, df, ["site"], True).collect()}
+    for url, _ in rows:
+        other = [(u, b) for u, b in rows if folds[u] != folds[url]]
+        own = [b for u, b in other if u.split("/")[2] == url.split("/")[2]]
+        overall = sum(b for _, b in rows) / len(rows)
+        assert math.isclose(got[url][0], (sum(own) + urls.SMOOTH * overall) / (len(own) + urls.SMOOTH)) and math.isclose(got[url][1], math.log1p(len(own)))
+
+
+def test_against_plain_python(spark):
+    """Hosts, paths, rules and entropies of made URLs."""
+    rng = random.Random(7)
+    parts = ["http://", "://", "example.org", "Sub.EXAMPLE.org", "a.com", "fr.com", "b.net", "é.org", "/es/", "/en/1", "/fr/", "/de/x", "/", "?q=1&r=/es/", "#f", "", "日本", ".org", "org"]
+    texts = [None, ""] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    low = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+    rows = {r.page_id: r for r in urls.judge(spark.createDataFrame(list(enumerate(texts)), "page_id long, url string"), urls.RULES).collect()}
+    host, path = urls.host_path(F.col("url"))
+    entropies = spark.createDataFrame(list(enumerate(texts)), "page_id long, url string").select("page_id", urls.lexical(F.col("url"), host, path)["entropy"].alias("e")).collect()
+    for i, text in enumerate(texts):
+        host, path = "", ""
+        if text and "://" in text:
+            rest = text.split("://", 1)[1]
+            ends = [rest.find(c) for c in "/?#" if c in rest]
+            host, tail = low(rest[: min(ends, default=len(rest))]), rest[min(ends, default=len(rest)) :]
+            path = tail[: min((tail.find(c) for c in "?#" if c in tail), default=len(tail))]
+        fits = [r for r, _ in urls.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.split("/", 1)[1])]
+        want = max(fits, key=len, default=None)
+        assert (rows[i].host, rows[i].path, rows[i].rule) == (host, path, want), text
+        if want:
+            assert rows[i].verdict == dict(urls.RULES)[want]
+    for r in entropies:
+        text = low(texts[r.page_id] or "")
+        want = -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values()) if text else 0.0
+        assert abs(r.e - want) < 1e-9
