@@ -165,7 +165,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
 def assign(cuts: DataFrame, key: str = "doc_id", capacity: int = 1024, buckets: int | None = None) -> DataFrame:
     """Give each piece its ``sequence_id`` and ``offset``; ``cuts`` is read more than once, so it should be a table."""
     if buckets is None:
-        buckets = max(16, min(1 << 14, cuts.count() // 250_000))
+        buckets = max(16, cuts.count() // 250_000)
     bucketed = cuts.withColumn("_bucket", F.pmod(F.xxhash64(key, "start", "ids_crc32"), F.lit(buckets)))
     counts = bucketed.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # capacity rows at most
@@ -216,7 +216,12 @@ def assign(cuts: DataFrame, key: str = "doc_id", capacity: int = 1024, buckets:
 
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = 1024, **options) -> DataFrame:
-    """Pieces of all documents with the sequence and the offset at which each one lies."""
+    """Pieces of all documents with the sequence and the offset at which each one lies.
+
+    A null text counts as empty and gives one piece, its closing id; a text longer than a sequence gives
+    several.  Equal rows are packed each for itself, null keys like others; which of equal pieces lies
+    where goes by key, start and checksum.  Other columns are left out; an empty table gives no rows.
+    """
     return assign(cut(pieces(df, key, text, capacity, **options), "pieces"), key, capacity)
 
 

@@ -100,22 +100,28 @@ def sketch(df: DataFrame, text: str, size: int, bits: int) -> list[bytes]:
         if held:
             yield flush()
 
+    def made(block: int, counters: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(counters > 1, bitorder="little").tobytes()], pa.binary())], names=["block", "bits"])
+
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters: dict[int, np.ndarray] = {}
+        block, counters = None, None
         for batch in batches:
-            for block, once, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = counters.setdefault(block, np.zeros(1 << block_bits, dtype=np.uint8))
-                once, more = np.frombuffer(once, dtype=np.uint32), np.frombuffer(more, dtype=np.uint32)
-                own[once] = np.minimum(own[once] + 1, 2)  # places in one part are distinct
-                own[more] = 2
-        keys = list(counters)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([np.packbits(counters[k] > 1, bitorder="little").tobytes() for k in keys], pa.binary())], names=["block", "bits"])
+            for i, own in enumerate(batch.column(0).to_pylist()):
+                if own != block:
+                    if counters is not None:
+                        yield made(block, counters)
+                    block, counters = own, np.zeros(1 << block_bits, dtype=np.uint8)
+                once, more = (np.frombuffer(batch.column(c)[i].as_py(), dtype=np.uint32) for c in (1, 2))
+                counters[once] = np.minimum(counters[once] + 1, 2)  # places in one part are distinct
+                counters[more] = 2
+        if counters is not None:
+            yield made(block, counters)
 
     parts = df.select(text).mapInArrow(count, "block int, once binary, more binary")
-    merged = parts.repartition("block").mapInArrow(merge, "block int, bits binary")
+    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
     rows = [bytearray((1 << bits) // 8) for _ in range(DEPTH)]
     wide = (1 << block_bits) // 8
-    for r in merged.collect():  # DEPTH * 2**MAX_BITS bits at most
+    for r in merged.toLocalIterator():  # DEPTH * 2**MAX_BITS bits at most
         depth, b = divmod(r["block"], blocks)
         rows[depth][b * wide : (b + 1) * wide] = r["bits"]
     return [bytes(x) for x in rows]
@@ -191,11 +197,9 @@ def repeated_places(keyed: DataFrame, text: str, size: int, seen: list[bytes], b
                 key = np.where(single, keys[row[first]], 0)
                 place = np.where(single, place[first] + 1, 0)
                 bucket = (h1 >> shift).astype(np.int64) if window_buckets > 1 else np.zeros(len(h1), dtype=np.int64)
-                edges = np.searchsorted(bucket, np.arange(window_buckets + 1))
-                for b in range(window_buckets):
-                    s = slice(edges[b], edges[b + 1])
-                    if edges[b] < edges[b + 1]:
-                        rows.append((b, False, h1[s].tobytes(), h2[s].tobytes(), key[s].tobytes(), _narrow(place[s])))
+                full, edges = np.unique(bucket, return_index=True)
+                for b, a, z in zip(full.tolist(), edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True):
+                    rows.append((b, False, h1[a:z].tobytes(), h2[a:z].tobytes(), key[a:z].tobytes(), _narrow(place[a:z])))
                 yield table_of(rows)
 
     def solve(group: list[tuple]) -> list[tuple]:
@@ -241,21 +245,23 @@ def dedup(df: DataFrame, text: str = "text", size: int = 35, digest: bool = Fals
     one shorter than a window, loses nothing.  Returns the columns ``keep`` (default: all but the
     text) with ``n_words`` and ``n_removed`` and either the kept words joined by one space (in
     ``text``; a text that loses nothing stays as it was, null too) or, with ``digest``, their
-    ``kept_sha256``.
+    ``kept_sha256``.  Columns of these names are replaced.  Equal rows each keep their row; an empty
+    table gives an empty one.
     """
-    keep = [c for c in (keep or df.columns) if c != text]
+    made = {"n_words", "n_removed", *(["kept_sha256"] if digest else [])}
+    keep = [c for c in (df.columns if keep is None else keep) if c != text and c not in made]
     key = F.xxhash64(*[F.col(c) for c in df.columns if dict(df.dtypes)[c] in ("bigint", "int", "string")]) if len(df.columns) > 1 else F.xxhash64(text)
-    keyed = df.withColumn("_key", key)
+    keyed = df.select(key.alias("_key"), F.col(text).alias("_text"), F.struct(*keep).alias("_rest") if keep else F.lit(None).cast("string").alias("_rest"))
     size_of = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
     places = max(1, size_of // 6 * 2 // max(1, size - GRAM + 2))
     bits = min(MAX_BITS, max(MIN_BITS, (4 * places - 1).bit_length()))
     # some 4 MB of representatives and 16 MB of text a bucket
-    window_buckets = 1 << min(14, max(3, (size_of >> 23).bit_length()))
+    window_buckets = 1 << max(3, (size_of >> 23).bit_length())
     doc_buckets = max(16, size_of >> 22)
     seen = sketch(df, text, size, bits)
-    found = repeated_places(keyed, text, size, seen, bits, window_buckets, doc_buckets)
+    found = repeated_places(keyed, "_text", size, seen, bits, window_buckets, doc_buckets)
     bucket_of = F.expr(f"cast(pmod(pmod(_key, {doc_buckets}L) + if(_key < 0, {2**64 % doc_buckets}L, 0L), {doc_buckets}L) as int)")
-    texts = keyed.select(bucket_of.alias("bucket"), F.lit(1).alias("_kind"), "_key", F.col(text).alias("_text"), F.struct(*keep).alias("_rest") if keep else F.lit(None).alias("_rest"), F.lit(None).cast("binary").alias("key"), F.lit(None).cast("binary").alias("place"))
+    texts = keyed.select(bucket_of.alias("bucket"), F.lit(1).alias("_kind"), "_key", "_text", "_rest", F.lit(None).cast("binary").alias("key"), F.lit(None).cast("binary").alias("place"))
     hits = found.select("bucket", F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_key"), F.lit(None).cast("string").alias("_text"), F.lit(None).cast(texts.schema["_rest"].dataType).alias("_rest"), "key", "place")
     both = texts.unionByName(hits).repartition("bucket").sortWithinPartitions("bucket", "_kind")
     rest = texts.schema["_rest"].dataType

@@ -56,6 +56,9 @@ def test_empty_and_repeated_ids(spark):
     rows = sorted((r.doc_id or 0, r.n_words, r.n_removed, r.text) for r in substrings.dedup(df, size=3).collect())
     assert rows[0][2] == 3 and rows[1][1:] == (3, 3, "") and rows[2][1:] == (3, 3, "") and [r for r in rows if r[0] == 2][0][3] is None
     assert substrings.dedup(df.limit(0)).count() == 0
+    clash = df.selectExpr("doc_id", "text", "7 as n_words", "8 as n_removed", "'x' as _key", "'y' as _text", "1 as bucket", "2 as key")
+    rows = substrings.dedup(clash, size=3).where("n_removed = 3").select("n_words", "_key", "_text", "bucket", "key").collect()
+    assert sorted(map(tuple, rows)) == [(3, "x", "y", 1, 2)] * 2 + [(4, "x", "y", 1, 2)]
 
 
 def test_words_across_segments(monkeypatch):
