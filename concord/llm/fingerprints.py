@@ -15,12 +15,13 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from concord.session import cut, table
+from concord.session import cut, drop_cut, table
 
 SAMPLES = 32
-#: Buckets of documents in id order, and rows that a bucket is meant for.
-MAX_BUCKETS, BUCKET_ROWS = 1024, 1000
+#: Keys (not texts) that a range of the key order is meant for.
+RANGE_ROWS = 500_000
 _SPACE = "[ \t\n\u000b\f\r]+"
 _MASK = (1 << 21) - 1
 _LOW = (1 << 32) - 1
@@ -99,52 +100,70 @@ def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", samples:
     return keys.select(F.col("_key").alias(key), F.coalesce("fingerprint", F.lit("")).alias("fingerprint"))
 
 
-def with_next(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Each row with its place (bucket ``b``, rank ``r`` in it) in the order of keys and the next row's text.
+_OWN = ["_null", "_key", "_h"]
 
-    Keys are dealt into buckets by approximate quantiles, one shuffle of the texts; within a bucket
-    the next row is a window function, and the last row takes the first text of the next bucket that
-    has rows, the very last that of the first.  Rows with equal keys come in the order of their
-    texts' hashes, null keys first.
+
+def _named(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Text, its hash and its key; a null key is told by ``_null``, so that keys join by plain equality."""
+    kind = df.schema[key].dataType
+    none = F.lit("" if isinstance(kind, T.StringType) else "1970-01-01" if isinstance(kind, T.DateType | T.TimestampType) else 0).cast(kind)
+    rows = df.select(F.col(key).isNull().alias("_null"), F.coalesce(F.col(key), none).alias("_key"), F.coalesce(text, F.lit("")).alias("_text"))
+    return rows.withColumn("_h", F.xxhash64("_text"))
+
+
+def order_of(named: DataFrame) -> DataFrame:
+    """Each distinct key and text hash with its rows, characters and the one that follows: no text is moved.
+
+    Columns: _OWN, c (rows), n (characters), next (a struct of _OWN).  Equal keys come in the order of
+    their texts' hashes, null keys first; after the last comes the first.  The keys are dealt into
+    ranges by Spark's sampling; within a range the follower is a window function, and the last key
+    takes the first of the next range.
     """
-    rows = df.count()
-    buckets = max(1, min(MAX_BUCKETS, rows // BUCKET_ROWS))
-    bounds = sorted(set(df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 20_000)).first()[0] or [])) if buckets > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
-    base = df.select(F.col(key).alias("_key"), F.coalesce(text, F.lit("")).alias("_text")).withColumn("b", bucket)
-    order = Window.partitionBy("b").orderBy(F.col("_key").asc_nulls_first(), F.xxhash64("_text"), "_text")
-    placed = base.withColumn("r", F.row_number().over(order)).withColumn("_follow", F.lead("_text").over(order))
-    heads = cut(placed.where("r = 1").select("b", F.col("_text").alias("_head")), "heads")  # a row a bucket
-    full = sorted(r["b"] for r in heads.select("b").collect())  # MAX_BUCKETS + 1 at most
-    after = {b: full[(i + 1) % len(full)] for i, b in enumerate(full)}
-    if not full:
-        return placed.withColumn("_next", F.lit("")).withColumn("nb", F.lit(0)).withColumn("nr", F.lit(0))
-    follow = F.create_map(*[F.lit(x) for pair in after.items() for x in pair])
-    last = F.col("_follow").isNull()
-    linked = placed.withColumn("nb", F.when(last, follow[F.col("b")]).otherwise(F.col("b"))).withColumn("nr", F.when(last, F.lit(1)).otherwise(F.col("r") + 1))
-    linked = linked.withColumn("_edge", F.when(last, F.col("nb")))
-    edge = F.broadcast(heads.select(F.col("b").alias("_edge"), "_head"))  # a text for each of MAX_BUCKETS + 1 buckets at most
-    return linked.join(edge, "_edge", "left").drop("_edge").withColumn("_next", F.coalesce("_follow", "_head"))
+    light = cut(named.groupBy(*_OWN).agg(F.count("*").alias("c"), F.first(F.length("_text").cast("long")).alias("n")), "keys")
+    ranges = max(1, light.count() // RANGE_ROWS)
+    by = [F.col("_null").desc(), F.col("_key"), F.col("_h")]
+    dealt = cut(light.repartitionByRange(ranges, *by).withColumn("b", F.spark_partition_id()), "order") if ranges > 1 else light.withColumn("b", F.lit(0))
+    inside = dealt.withColumn("_next", F.lead(F.struct(*_OWN)).over(Window.partitionBy("b").orderBy(*by)))
+    # a row a range: the first of each, and beside it the first of the range that follows
+    heads = dealt.groupBy("b").agg(F.min_by(F.struct(*_OWN), F.struct(~F.col("_null"), "_key", "_h")).alias("head"))
+    turn = Window.orderBy("b")
+    heads = heads.select("b", F.coalesce(F.lead("head").over(turn), F.first("head").over(turn)).alias("_then"))
+    return inside.join(F.broadcast(heads), "b").select(*_OWN, "c", "n", F.coalesce("_next", "_then").alias("next"))
 
 
 def compare_with_edited(df: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """Fingerprints of every whole text and of its edited text, with their likenesses."""
-    placed = with_next(df, key, text)
-    n = F.length("_text")
-    edited = F.concat(F.expr("left(_text, length(_text) - cast(floor(length(_text) / 4) as int))"), F.expr("left(_next, cast(floor(length(_text) / 4) as int))"))
-    base = placed.select("_key", "b", "r", "nb", "nr", n.cast("long").alias("n_chars"), "_text", edited.alias("_edited"))
-    both = base.select("b", "r", F.expr("stack(2, 0, _text, 1, _edited) as (_side, _body)"))
-    each = both.select("b", "r", "_side", F.explode(words(F.col("_body"))).alias("_word")).where("_word <> ''")
-    terms = each.groupBy("b", "r", F.xxhash64("_word").alias("_term")).agg(F.sum(1 - F.col("_side")).alias("_w0"), F.sum("_side").alias("_w1"))
-    spark = df.sparkSession
-    with _split_codegen(spark):
-        found = cut(_samples(terms, ["b", "r"], ["_w0", "_w1"], samples), "samples")
-    marks = found.select("b", "r", _hex(0, samples).alias("fingerprint"), _hex(1, samples).alias("edited_fingerprint"))
-    facts = base.select("_key", "b", "r", "nb", "nr", "n_chars", F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"))
-    own = facts.join(marks, ["b", "r"], "left")
-    beside = marks.select(F.col("b").alias("nb"), F.col("r").alias("nr"), F.col("fingerprint").alias("_beside"))
-    out = own.join(beside, ["nb", "nr"], "left").na.fill("", ["fingerprint", "edited_fingerprint", "_beside"])
-    return out.select(F.col("_key").alias(key), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_beside"), samples).alias("near_next"))
+    """Fingerprints of every whole text and of its edited text, with their likenesses.
+
+    A null text counts as empty; the fingerprint of a text without words is empty.  Rows with equal
+    keys follow each other in the order of their texts' hashes, null keys come first; of equal rows
+    all but the last have themselves as the next.  Other columns of ``df`` are left out.  Texts are
+    shuffled once, by key; the next text sends only the characters that are asked of it.
+    """
+    named = _named(df, key, text)
+    order = cut(order_of(named), "next")
+    texts = named.groupBy(*_OWN).agg(F.first("_text").alias("_text"))
+    asked = order.select("next.*", F.struct(*_OWN).alias("_by"), F.floor(F.col("n") / 4).cast("int").alias("_chars"))
+    sent = texts.join(asked, _OWN).select("_by.*", F.left("_text", F.col("_chars")).alias("_piece"))
+    placed = texts.join(order, _OWN).join(sent, _OWN)
+    # a row that occurs more than once also stands for those that precede itself
+    before = F.struct((F.col("c") - 1).alias("times"), F.left("_text", F.floor(F.col("n") / 4).cast("int")).alias("piece"), F.struct(*_OWN).alias("next"))
+    after = F.struct(F.lit(1).cast("long").alias("times"), F.col("_piece").alias("piece"), F.col("next").alias("next"))
+    kinds = placed.select(*_OWN, "_text", "n", F.explode(F.when(F.col("c") > 1, F.array(after, before)).otherwise(F.array(after))).alias("k"))
+    edited = F.concat(F.expr("left(_text, cast(n as int) - cast(floor(n / 4) as int))"), F.col("k.piece"))
+    base = kinds.select(*_OWN, "n", "k.times", "k.next", "_text", edited.alias("_edited")).withColumn("_sha", F.sha2(F.col("_edited").cast("binary"), 256))
+    row = [*_OWN, "times"]
+    both = base.select(*row, F.expr("stack(2, 0, _text, 1, _edited) as (_side, _body)"))
+    each = both.select(*row, "_side", F.explode(words(F.col("_body"))).alias("_word"))
+    # an empty word weighs nothing, but keeps a text without words among the rows
+    weight = lambda side: F.sum(((F.col("_side") == side) & (F.col("_word") != "")).cast("long"))
+    terms = each.groupBy(*row, F.xxhash64("_word").alias("_term")).agg(weight(0).alias("_w0"), weight(1).alias("_w1"))
+    with _split_codegen(df.sparkSession):
+        marks = _samples(terms, row, ["_w0", "_w1"], samples)
+        found = cut(base.select(*row, "n", "next", "_sha").join(marks, row).select(*row, "n", "next", "_sha", _hex(0, samples).alias("fingerprint"), _hex(1, samples).alias("edited_fingerprint")), "marks")
+    drop_cut(order)
+    beside = found.select(F.struct(*_OWN).alias("next"), F.col("fingerprint").alias("_beside")).dropDuplicates(["next"])
+    out = found.join(beside, "next", "left").withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return out.select(F.when(~F.col("_null"), F.col("_key")).alias(key), F.col("n").alias("n_chars"), F.col("_sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"), likeness(F.col("fingerprint"), F.col("_beside"), samples).alias("near_next"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

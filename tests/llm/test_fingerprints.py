@@ -14,7 +14,7 @@ def jaccard(a, b):
 
 @pytest.mark.parametrize("rows", [7, 1000])
 def test_against_brute_force(spark, monkeypatch, rows):
-    monkeypatch.setattr(fp, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(fp, "RANGE_ROWS", rows)
     rng = random.Random(9)
     base = [" ".join(rng.choice("abcdefghijklmnopqrst") + str(rng.randint(0, 9)) for _ in range(rng.choice([3, 40, 300]))) for _ in range(40)]
     docs = [(3 * i + 1, rng.choice(base), "x") for i in range(100)] + [(5000, None, "x"), (5001, "", "x"), (5002, "日本 é🙂 words here ok", "x"), (9000, "last one of all", "x")]
@@ -45,4 +45,12 @@ def test_edges(spark):
     only = fp.compare_with_edited(df).first()
     assert only.near_next == 1.0 and only.near_edited == 1.0 or only.near_edited < 1
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c d"), (2, "x")], "doc_id long, text string")
-    assert fp.compare_with_edited(df).count() == 4
+    rows = fp.compare_with_edited(df).collect()
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert sorted((r.doc_id or -1, r.n_chars, r.edited_sha256) for r in rows) == sorted([(-1, 3, digest("c d")), (1, 3, digest("a b")), (1, 3, digest("a b")), (2, 1, digest("x"))])
+    # eight rows of one key: seven precede themselves, the eighth precedes the last document
+    text = "abcd efgh ijkl"
+    df = spark.createDataFrame([(1, text)] * 8 + [(2, "wxyz")], "doc_id long, text string").repartition(3)
+    rows = fp.compare_with_edited(df).where("doc_id = 1").collect()
+    assert sorted(r.edited_sha256 for r in rows) == sorted([digest("abcd efgh iabc")] * 7 + [digest("abcd efgh iwxy")])
+    assert sorted(r.near_next for r in rows) == [0.0] + [1.0] * 7
