@@ -25,8 +25,8 @@ _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 #: Punctuation that a match of its own begins with after letters.
 _CLOSING = ".,;:!?"
 _ENDS = frozenset(_CLOSING)
-#: Chunks kept per worker, some 200 MB.
-CACHE = 1_000_000
+#: Chunks kept per worker, and the longest that is kept, in characters: some 60 MB.
+CACHE, LONGEST = 300_000, 64
 
 
 def byte_alphabet() -> list[str]:
@@ -98,7 +98,9 @@ class ByteBpe:
     def _cached(self, chunk: str) -> bytes:
         ids = self.cache.get(chunk)
         if ids is None:
-            ids = self.cache[chunk] = self._chunk(chunk)
+            ids = self._chunk(chunk)
+            if len(chunk) <= LONGEST:
+                self.cache[chunk] = ids
         return ids
 
     def _lookup(self, chunks: list[str]) -> list[bytes]:

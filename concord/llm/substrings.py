@@ -37,7 +37,7 @@ MIN_BITS, MAX_BITS = 20, 28
 #: Minimiser places that a task gathers before it passes a partial sketch on.
 FLUSH = 1 << 21
 #: Bytes of text whose windows are grouped together before anything is sent.
-RUN_BYTES = 1 << 23
+RUN_BYTES = 1 << 22
 
 
 def minimisers(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -3,8 +3,8 @@
 Either class has an interpolated Kneser-Ney model of a word's bytes, given up to ORDER - 1 bytes
 before, word edges included.  Orders up to SHARED are estimated from both classes together, so a
 rare expression, in either class, falls back to shared counts and says little for or against.  The
-counts, of all labelled texts outside the held-out folds, are aggregated by the grams' 64-bit hashes;
-the model, broadcast whole, has an entry a distinct gram.
+counts, of all labelled texts outside the held-out folds, are added up by distinct word first, then by
+the 64-bit hashes of these words' grams; the model, broadcast whole, has an entry a distinct gram.
 
 A text is judged by length-normalised log-likelihood ratios of the classes: over all its words, and
 over its most telling word and words.  A logistic curve fitted on a fold that the counts leave out
@@ -28,8 +28,10 @@ from concord.session import table
 #: Labelled rows of each class that the logistic curve is fitted on, at most; the lowest hashes are taken.
 MAX_LABELLED = 16_384
 ORDER, SHARED = 6, 2
-#: Distinct grams that a task holds before it passes their counts on.
+#: Distinct words, or grams, that a task holds before it passes their counts on.
 HELD = 1 << 20
+#: Words whose ratio a worker keeps, and bytes of text that it works through at once.
+CACHE, RUN_BYTES = 1 << 19, 1 << 20
 DISCOUNT = 0.75
 #: Log-likelihood ratio from which a word counts as telling.
 TELLING = 2.0
@@ -94,17 +96,48 @@ class Lookup:
 
 
 def distinct_words(raw: np.ndarray, offsets: np.ndarray):
-    """Distinct words of a run of texts: spans, each word's index among them, each row's first word."""
+    """Distinct words of a run of texts: hashes, spans, each word's index among them, each row's first word."""
     hashes, firsts, starts, ends = kernels.words(raw, offsets, lower=True, spans=True)
-    _, index, back = np.unique(hashes, return_index=True, return_inverse=True)
-    return starts[index], ends[index], back, firsts
+    keys, index, back = np.unique(hashes, return_index=True, return_inverse=True)
+    return keys, starts[index], ends[index], back, firsts
+
+
+def lowered(raw: np.ndarray) -> np.ndarray:
+    return np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
+
+
+def word_counts(examples: DataFrame) -> DataFrame:
+    """``word`` (bytes, A-Z lowered), ``n0``, ``n1``: how often each distinct word stands in texts of either class."""
+
+    def packed(held: dict[bytes, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), *(pa.array([n[c] for n in held.values()], pa.int64()) for c in (0, 1))], names=["word", "n0", "n1"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list[int]] = {}
+        for whole in batches:
+            for batch in kernels.slices(whole, "text", RUN_BYTES):
+                raw, offsets = kernels.utf8(batch.column(0))
+                _, starts, ends, back, firsts = distinct_words(raw, offsets)
+                label = np.repeat(np.asarray(batch.column(1), dtype=np.int64), np.diff(firsts))
+                counts = [np.bincount(back[label == c], minlength=len(starts)).tolist() for c in (0, 1)]
+                text = lowered(raw).tobytes()
+                for a, b, n0, n1 in zip(starts.tolist(), ends.tolist(), *counts, strict=True):
+                    own = held.setdefault(text[a:b], [0, 0])
+                    own[0] += n0
+                    own[1] += n1
+                if len(held) > HELD // 4:
+                    yield packed(held)
+                    held = {}
+        yield packed(held)
+
+    return examples.mapInArrow(count, "word binary, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 def counted(examples: DataFrame) -> dict[int, dict[str, np.ndarray]]:
     """All grams by order, sorted by hash: counts by class, and the hashes of shorter gram and context.
 
-    ``examples``: text, toxic (0 or 1).  Tasks send the counts of what they have seen, Spark adds
-    them up by gram, and the distinct grams come to the driver as Arrow columns.
+    ``examples``: text, toxic (0 or 1).  Words are counted first, so that each distinct one is cut into
+    grams once; Spark adds the grams up, and the distinct ones come to the driver as Arrow columns.
     """
     names = ["k", "gram", "n0", "n1", "suffix", "context"]
     schema = ", ".join(f"{n} {'int' if n == 'k' else 'long'}" for n in names)
@@ -118,18 +151,13 @@ def counted(examples: DataFrame) -> dict[int, dict[str, np.ndarray]]:
     def packed(k: int, data: tuple) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(data[0]), k, dtype=np.int32)), *(pa.array(x.view(np.int64)) for x in data)], names=names)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
         for whole in batches:
-            for batch in kernels.slices(whole, "text"):
+            for batch in kernels.slices(whole, "word", RUN_BYTES):
                 raw, offsets = kernels.utf8(batch.column(0))
-                toxic = np.asarray(batch.column(1), dtype=np.int64)
-                starts, ends, back, firsts = distinct_words(raw, offsets)
-                if not len(starts):
-                    continue
-                label = np.repeat(toxic, np.diff(firsts))
-                grams = Grams(raw, starts, ends)
-                weights = [np.bincount(back[label == c], minlength=len(starts)) for c in (0, 1)]
+                weights = [np.asarray(batch.column(c), dtype=np.int64) for c in (1, 2)]
+                grams = Grams(raw, offsets[:-1], offsets[1:])
                 for k in range(1, ORDER + 1):
                     where, keys, contexts = grams.at(k)
                     shorter = kernels.mix(grams.sums[k - 1][where], k - 1)
@@ -140,7 +168,7 @@ def counted(examples: DataFrame) -> dict[int, dict[str, np.ndarray]]:
                     held = {}
         yield from (packed(k, x) for k, x in held.items())
 
-    parts = examples.mapInArrow(count, schema).groupBy("k", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.first("suffix").alias("suffix"), F.first("context").alias("context"))
+    parts = word_counts(examples).mapInArrow(cut_up, schema).groupBy("k", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.first("suffix").alias("suffix"), F.first("context").alias("context"))
     found = parts.select(*names).toArrow()
     columns = {n: found.column(n).to_numpy() for n in names}
     out = {}
@@ -213,14 +241,30 @@ class KneserNey:
         logs[grams.place == 0] = 0
         return np.add.reduceat(logs, grams.first) if len(starts) else np.zeros(0, dtype=np.float32)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def ratios(self, hashes: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Ratios of distinct words given by ascending hashes; those seen before come from what the worker keeps."""
+        keys, values = self.__dict__.get("known", (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32)))
+        if len(keys) > CACHE:
+            keys, values = keys[:0], values[:0]
+        at = np.searchsorted(keys, hashes)
+        new = keys[np.minimum(at, len(keys) - 1)] != hashes if len(keys) else np.ones(len(hashes), dtype=bool)
+        if new.any():
+            made = np.clip(self.words(raw, starts[new], ends[new]), -20, 20)
+            keys, values = np.insert(keys, at[new], hashes[new]), np.insert(values, at[new], made)
+        self.known = keys, values
+        return values[np.searchsorted(keys, hashes)]
+
     def features(self, column: pa.Array) -> np.ndarray:
         """For each text: mean ratio a word; the largest; telling ratios, summed and per word."""
         raw, offsets = kernels.utf8(column)
-        starts, ends, back, firsts = distinct_words(raw, offsets)
+        hashes, starts, ends, back, firsts = distinct_words(raw, offsets)
         out = np.zeros((len(column), 4))
         if not len(starts):
             return out
-        ratio = np.clip(self.words(raw, starts, ends), -20, 20)[back].astype(np.float64)
+        ratio = self.ratios(hashes, raw, starts, ends)[back].astype(np.float64)
         n = np.diff(firsts)
         some = n > 0
         at = firsts[:-1][some]
@@ -272,7 +316,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in kernels.slices(whole, "text"):
+            for batch in kernels.slices(whole, "text", RUN_BYTES):
                 yield pa.RecordBatch.from_arrays([pa.array(list(sent.value.features(batch.column(0))), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
     rows = examples.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "x array<double>, toxic int").collect()
@@ -289,7 +333,7 @@ def score(df: DataFrame, model: Model, text: str = "text", to: str = "score") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in kernels.slices(whole, text):
+            for batch in kernels.slices(whole, text, RUN_BYTES):
                 made = pa.array(sent.value.score(batch.column(batch.schema.get_field_index(text))), pa.float64())
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), made], names=[*keep, to])
 
