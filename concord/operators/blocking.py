@@ -65,11 +65,6 @@ def person_keys(canon: DataFrame, cfg: dict) -> DataFrame:
     return _rows(canon, singles, lists)
 
 
-def legacy_organisation_keys(canon: DataFrame) -> DataFrame:
-    name, pin = F.col("name_norm"), F.col("postal_norm")
-    return _rows(canon, [_key("name_city", name, F.left("city_norm", F.lit(12))), _key("pin_name", pin, F.left(name, F.lit(8))), _key("pin_addr", pin, F.left("addr_norm", F.lit(10)))], [_each("phone", F.col("phones"))])
-
-
 def block_sizes(keys: DataFrame) -> DataFrame:
     return keys.groupBy("kind", "key").agg(F.count("*").alias("size"))
 

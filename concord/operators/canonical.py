@@ -35,7 +35,7 @@ def organisations(df: DataFrame, cfg: dict) -> DataFrame:
         F.struct(
             name.alias("name_norm"), X.strip_org_affixes(X.norm_text(X.before_locality(c("name"))), cfg["org_strip_prefixes"], cfg["org_strip_suffixes"]).alias("name_stripped"),
             X.norm_text(c("type")).alias("type_norm"), X.norm_text(c("city")).alias("city_norm"), X.norm_text(c("state")).alias("state_norm"), X.digits(c("postal")).alias("postal_norm"),
-            X.norm_text(F.concat_ws(" ", c("address_1"), c("address_2"))).alias("addr_norm"), c("status").alias("status"), c("name").alias("display_name"),
+            X.norm_text(F.concat_ws(" ", c("address_1"), c("address_2"))).alias("addr_norm"), c("status").alias("status"), X.blank(c("name")).alias("display_name"), X.blank(c("type")).alias("display_type"), X.blank(c("city")).alias("display_city"),
         ).alias("first"),
         X.norm_phone(c("phone")).alias("phone"), X.norm_phone(c("fax")).alias("fax"),
     )
@@ -59,7 +59,8 @@ def persons(df: DataFrame, cfg: dict, synonyms: dict[str, list[str]] | None = No
     licence = F.struct(X.norm_license(c("license_number")).alias("num"), X.norm_text(c("license_body")).alias("body"))
     rows = df.where(c("vid").isNotNull()).select(
         c("vid").alias("vid"), (F.col("seq") if "seq" in df.columns else F.monotonically_increasing_id()).alias("seq"),
-        F.struct(canon.alias("name_canon"), first.alias("first_norm"), last.alias("last_norm"), X.norm_text(c("city_cda")).alias("city_cda"), c("status").alias("status"), X.blank(c("candidate")).alias("candidate")).alias("first"),
+        F.struct(canon.alias("name_canon"), first.alias("first_norm"), last.alias("last_norm"), X.norm_text(c("city_cda")).alias("city_cda"), c("status").alias("status"), X.blank(c("candidate")).alias("candidate"),
+            F.trim(F.concat(X.blank(c("first_name")), F.lit(" "), X.blank(c("last_name")))).alias("display_name"), F.concat_ws("; ", *[F.trim(F.col(n).cast("string")) for n in df.columns if n == "specialty" or n.startswith("specialty_")]).alias("display_specialties")).alias("first"),
         many("specialty", X.norm_text).alias("specialties"), many("phone", X.norm_phone).alias("phones"), many("email", X.norm_email).alias("emails"),
         F.when(X.norm_license(c("license_number")).isNotNull(), licence).alias("licence"),
         F.when(X.norm_license(c("license_number")).isNotNull() & active, licence).alias("active_licence"),

@@ -28,6 +28,7 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ro
     """``(node, component)`` for every node of ``edges``; the component is its least node.
 
     Self links are ignored; nulls too.  Nothing is collected: each round's edges are a shared table.
+    Raises RuntimeError if labels still change after ``rounds``.
     """
     a, b = F.col(left), F.col(right)
     now = cut(edges.where(a.isNotNull() & b.isNotNull() & (a != b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
@@ -44,5 +45,7 @@ def connected_components(edges: DataFrame, left: str = "u", right: str = "v", ro
         now, before, seen = after, seen, state(after)
         if before == seen:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -172,10 +172,53 @@ def licence_info() -> Column:
     return F.when(both.isNotNull(), F.concat(F.lit("SAME_"), both)).when(least("a").isNotNull() & least("b").isNotNull(), F.concat(F.lit("DIFF_"), least("a"), F.lit("_"), least("b"))).when(least("a").isNotNull(), F.concat(F.lit("ONLY_A_"), least("a"))).when(least("b").isNotNull(), F.concat(F.lit("ONLY_B_"), least("b"))).otherwise("NO_LICENSE")
 
 
-def classify(signals: DataFrame, rule: Column, score: tuple[Column, Column], threshold: int, tiers: list[tuple[int, str]], not_dup: Column | None = None) -> DataFrame:
-    """``vid_a, vid_b, nscore, classification, rule, score, reasons, comment``."""
+def person_texts(cfg: dict, score: Column) -> dict[str, Column]:
+    """Comment and rationale of a scored pair, from the same signals as the score."""
+    w = cfg["person_review"]
+    both = lambda x: F.array_sort(F.array_intersect(f"a.{x}", f"b.{x}"))
+    two = lambda x: F.array_join(F.slice(both(x), 1, 2), ",")
+    common = common_name("a", cfg) & F.lit(cfg["common_names"]["enabled"]) & (F.col("nscore") >= cfg["person_auto"]["G3"]) & F.col("spec") & F.col("city")
+    tier = F.when(score >= w["high_confidence"], "High").when(score >= w["medium_high"], "Medium-high").when(score >= w["medium"], "Medium").otherwise("Low")
+    some = lambda condition, *parts: F.when(condition, F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])).otherwise("")
+    number = score.cast("int").cast("string")
+    comment = F.concat(
+        tier, F.lit(" confidence (Score: "), number, F.lit(")"), some(F.col("spec"), " — Specialty: ", F.array_join(both("specialty_groups"), ",")), some(F.col("licence"), " [License match: ", licence_info(), "]"),
+        some(F.col("conflict"), " [WARNING: Active license conflict]"), some(common, " [COMMON NAME — manual verification recommended]"),
+    )
+    own = ~F.col("shared")
+    parts = F.array(
+        F.concat(F.lit("Name match ("), F.bround("nscore", 0).cast("int").cast("string"), F.lit("%)")), F.when(F.col("spec"), F.concat(F.lit("same specialty ("), two("specialty_groups"), F.lit(")"))),
+        F.when(F.col("city"), F.concat(F.lit("same city ("), two("cities"), F.lit(")"))).when(F.col("state"), F.concat(F.lit("same state ("), two("states"), F.lit(")"))).when(F.col("pin"), "same postal code"),
+        F.when(F.col("hco"), "shared HCO affiliation"), F.when(F.col("phone") & own, "shared phone number"), F.when(F.col("email") & own, "shared email"), F.when(F.col("licence"), "license match"),
+    )
+    rationale = F.concat(
+        F.array_join(parts, ", "), F.lit(". Score: "), number, F.lit("/100."), some(common, " Name '", F.col("a.display_name"), "' is common in India — manual verification recommended."),
+        some(F.col("conflict"), " Warning: active license conflict detected."),
+    )
+    return {"comment": comment, "rationale": rationale}
+
+
+def person_display() -> dict[str, Column]:
+    """What a reviewer sees of either record; of sets the first three."""
+    out = {}
+    for side in ("a", "b"):
+        out |= {f"name_{side}": F.col(f"{side}.display_name"), f"specialties_{side}": F.col(f"{side}.display_specialties")}
+        out |= {f"{c}_{side}": X.top_three(F.col(f"{side}.{c}")) for c in ("cities", "phones", "emails")}
+    return out
+
+
+def organisation_display() -> dict[str, Column]:
+    out = {}
+    for side in ("a", "b"):
+        out |= {f"{c}_{side}": F.col(f"{side}.display_{c}") for c in ("name", "type", "city")} | {f"phones_{side}": X.top_three(F.col(f"{side}.phones"))}
+    return out
+
+
+def classify(signals: DataFrame, rule: Column, score: tuple[Column, Column], threshold: int, tiers: list[tuple[int, str]], not_dup: Column | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """``vid_a, vid_b, nscore, classification, rule, score, reasons, comment`` and the columns of ``more``."""
+    more = more or {}
     against = not_dup if not_dup is not None else F.lit(None).cast("string")
-    rows = signals.select("vid_a", "vid_b", F.bround("nscore", 1).alias("nscore"), rule.alias("_auto"), against.alias("_not"), score[0].alias("_score"), score[1].alias("_reasons"))
+    rows = signals.select("vid_a", "vid_b", F.bround("nscore", 1).alias("nscore"), rule.alias("_auto"), against.alias("_not"), score[0].alias("_score"), score[1].alias("_reasons"), *[v.alias(k if k != "comment" else "_comment") for k, v in more.items()])
     auto, other = F.col("_auto").isNotNull(), F.col("_not").isNotNull()
     review = ~auto & ~other & (F.col("_score") >= threshold)
     comment = F.lit("Low confidence")
@@ -187,5 +230,6 @@ def classify(signals: DataFrame, rule: Column, score: tuple[Column, Column], thr
         F.when(auto, F.col("_auto")).when(other, F.col("_not")).when(~review, "N3_LOW_SCORE").otherwise("").alias("rule"),
         F.when(auto, 100).when(other, 0).otherwise(F.col("_score")).cast("int").alias("score"),
         F.when(auto | other, "").otherwise(F.col("_reasons")).alias("reasons"),
-        F.when(review, comment).otherwise("").alias("comment"),
+        F.when(review, F.col("_comment") if "comment" in more else comment).otherwise("").alias("comment"),
+        *[F.when(review, F.col(k)).otherwise("").alias(k) if k == "rationale" else F.col(k) for k in more if k != "comment"],
     )

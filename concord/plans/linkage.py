@@ -7,12 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.functions.similarity import token_sort_udf
 from concord.operators import blocking, canonical, rules
 from concord.operators.components import connected_components
+from concord.session import cut
 
 
-#: Rows of a block of persons beyond which it is dealt over salts.
+#: Rows of a block beyond which it is dealt over salts.
 HOT = 1000
 
 
@@ -27,21 +27,23 @@ class Linked:
     def of(self, kind: str) -> DataFrame:
         return self.pairs.where(F.col("classification") == kind)
 
-    def clusters(self) -> DataFrame:
-        """``(cluster_id, vid)`` of the components of AUTO pairs; ids number the components by least id.
+    def held(self) -> DataFrame:
+        """The classified pairs as a table, for what reads them more than once."""
+        if "_held" not in self.__dict__:
+            self.__dict__["_held"] = cut(self.pairs, "classified")
+        return self.__dict__["_held"]
 
-        Numbers come from ranks within hash ranges of roots, not from one global sort.
-        """
+    def clusters(self) -> DataFrame:
+        """``(cluster_id, vid)`` of the components of AUTO pairs; ids number the components by least id."""
         ids = self.canon.select("vid", F.xxhash64("vid").alias("node"))
-        auto = self.of(rules.AUTO)
-        edges = auto.select(F.xxhash64("vid_a").alias("u"), F.xxhash64("vid_b").alias("v"))
-        parts = connected_components(edges).join(ids, "node").groupBy("component").agg(F.sort_array(F.collect_list("vid")).alias("members"))
-        roots = parts.select(F.array_min("members").alias("root"), "members")
-        return number_by(roots, "root", "cluster_id").select("cluster_id", F.explode("members").alias("vid"))
+        edges = self.of(rules.AUTO).select(F.xxhash64("vid_a").alias("u"), F.xxhash64("vid_b").alias("v"))
+        members = cut(connected_components(edges).join(ids, "node").select("component", "vid"), "members")
+        roots = members.groupBy("component").agg(F.min("vid").alias("root"))
+        return number_by(roots, "root", "cluster_id").join(members, "component").select("cluster_id", "vid")
 
     def unique(self) -> DataFrame:
         """Records in no AUTO or REVIEW pair."""
-        linked = self.pairs.where(F.col("classification") != rules.NOT_DUP)
+        linked = self.__dict__.get("_held", self.pairs).where(F.col("classification") != rules.NOT_DUP)
         ids = linked.select(F.explode(F.array("vid_a", "vid_b")).alias("vid"))
         return self.canon.join(ids, "vid", "left_anti")
 
@@ -65,56 +67,65 @@ class Linked:
     def tagged(self) -> DataFrame:
         """Each linked record with its counterpart, both ways round, and the unique ones: AUTO before REVIEW before UNIQUE."""
         rank = F.when(F.col("classification") == rules.AUTO, 0).when(F.col("classification") == rules.REVIEW, 1).otherwise(2)
-        ab = self.pairs.where(F.col("classification") != rules.NOT_DUP)
+        ab = self.held().where(F.col("classification") != rules.NOT_DUP)
         both = ab.select(F.col("vid_a").alias("vid"), F.col("vid_b").alias("match_vid"), "classification", "rule", "score").unionByName(ab.select(F.col("vid_b").alias("vid"), F.col("vid_a").alias("match_vid"), "classification", "rule", "score"))
         alone = self.unique().select("vid", F.lit("").alias("match_vid"), F.lit("UNIQUE").alias("classification"), F.lit("").alias("rule"), F.lit(0).alias("score"))
         return both.unionByName(alone).withColumn("status_rank", rank)
 
 
-def number_by(df: DataFrame, by: str, to: str, ranges: int = 64) -> DataFrame:
-    """Consecutive numbers from 1 in the order of text column ``by`` (distinct values).
+#: Rows that a range of ``number_by`` is meant for.
+RANGE_ROWS = 500_000
+
 
-    Rows are dealt by the order of their first two characters; counts of those groups, of which
-    there are few, give each group's first number.
+def number_by(df: DataFrame, by: str, to: str) -> DataFrame:
+    """Consecutive numbers from 1 in the order of ``by`` (distinct values).
+
+    Rows are dealt into ranges by Spark's sampling; the ranges' counts, a row each, give each range's
+    first number.
     """
-    dealt = df.withColumn("_p", F.substring(by, 1, 2))
-    before = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
-    shift = before.withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    rows = cut(df, "numbered")
+    ranges = max(1, rows.count() // RANGE_ROWS)
+    dealt = cut(rows.repartitionByRange(ranges, by).withColumn("_p", F.spark_partition_id()), "ranges") if ranges > 1 else rows.withColumn("_p", F.lit(0))
+    counts = dealt.groupBy("_p").agg(F.count("*").alias("_n"))
+    shift = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
     within = Window.partitionBy("_p").orderBy(by)
-    return dealt.withColumn("_r", F.row_number().over(within)).join(shift, "_p").withColumn(to, (F.col("_r") + F.col("_s")).cast("long")).drop("_p", "_r", "_s")
+    return dealt.withColumn("_r", F.row_number().over(within)).join(F.broadcast(shift), "_p").withColumn(to, (F.col("_r") + F.col("_s")).cast("long")).drop("_p", "_r", "_s")
 
 
-def _organisation_classes(pairs: DataFrame, cfg: dict) -> DataFrame:
+def _organisation_classes(pairs: DataFrame, cfg: dict, display: bool = False) -> DataFrame:
     w = cfg["org_review"]
-    return rules.classify(rules.organisation_signals(pairs), rules.organisation_rule(cfg), rules.organisation_score(cfg), w["review_threshold"], [(w["medium"], "Medium confidence"), (w["high_confidence"], "High confidence")])
+    return rules.classify(rules.organisation_signals(pairs), rules.organisation_rule(cfg), rules.organisation_score(cfg), w["review_threshold"], [(w["medium"], "Medium confidence"), (w["high_confidence"], "High confidence")], more=rules.organisation_display() if display else None)
 
 
-def _person_classes(pairs: DataFrame, cfg: dict, shared: DataFrame | None, negatives: bool = True) -> DataFrame:
+def _person_classes(pairs: DataFrame, cfg: dict, shared: DataFrame | None, negatives: bool = True, display: bool = False) -> DataFrame:
+    """Classified pairs; with ``display`` also both records' display columns, comment and rationale."""
     w = cfg["person_review"]
     tiers = [(w["medium"], "Medium confidence"), (w["medium_high"], "Medium-high confidence"), (w["high_confidence"], "High confidence")]
-    return rules.classify(rules.person_signals(pairs, shared), rules.person_rule(cfg), rules.person_score(cfg), w["review_threshold"], tiers, rules.person_not_dup(cfg) if negatives else None)
+    score = rules.person_score(cfg)
+    more = rules.person_display() | rules.person_texts(cfg, score[0]) if display else None
+    return rules.classify(rules.person_signals(pairs, shared), rules.person_rule(cfg), score, w["review_threshold"], tiers, rules.person_not_dup(cfg) if negatives else None, more)
 
 
-def dedupe_organisations(df: DataFrame, cfg: dict) -> Linked:
+def dedupe_organisations(df: DataFrame, cfg: dict, display: bool = False) -> Linked:
     canon = canonical.organisations(df, cfg)
     b = cfg["blocking"]
-    pairs = blocking.candidate_pairs(blocking.organisation_keys(canon, cfg), b["cap"], b["max_pairs"])
-    return Linked(canon, _organisation_classes(rules.paired(pairs, canon), cfg), cfg["velocity_per_hour"])
+    pairs = blocking.candidate_pairs(blocking.organisation_keys(canon, cfg), b["cap"], b["max_pairs"], HOT)
+    return Linked(canon, _organisation_classes(rules.paired(pairs, canon), cfg, display), cfg["velocity_per_hour"])
 
 
-def dedupe_persons(df: DataFrame, cfg: dict, synonyms: dict[str, list[str]] | None = None) -> Linked:
+def dedupe_persons(df: DataFrame, cfg: dict, synonyms: dict[str, list[str]] | None = None, display: bool = False) -> Linked:
     canon = canonical.persons(df, cfg, synonyms)
     b = cfg["blocking"]
     pairs = blocking.candidate_pairs(blocking.person_keys(canon, cfg), b["cap"], b["max_pairs"], HOT)
     shared = canonical.shared_contacts(canon, cfg["shared_contact_threshold"])
-    return Linked(canon, _person_classes(rules.paired(pairs, canon), cfg, shared), cfg["velocity_per_hour"])
+    return Linked(canon, _person_classes(rules.paired(pairs, canon), cfg, shared, display=display), cfg["velocity_per_hour"])
 
 
 def cross_check_organisations(target: DataFrame, master: DataFrame, cfg: dict) -> DataFrame:
     """Classified pairs (target, master); master records that are targets themselves are left out."""
     left = canonical.organisations(target, cfg)
     right = canonical.organisations(master, cfg).join(left.select("vid"), "vid", "left_anti")
-    pairs = blocking.probe_pairs(blocking.organisation_keys(left, cfg), blocking.organisation_keys(right, cfg))
+    pairs = blocking.probe_pairs(blocking.organisation_keys(left, cfg), blocking.organisation_keys(right, cfg), hot=HOT)
     return _organisation_classes(rules.paired(pairs, left, right), cfg)
 
 
@@ -157,18 +168,7 @@ def lookup(form: dict[str, str], reference: DataFrame, cfg: dict, synonyms: dict
     spark = reference.sparkSession
     one = spark.range(1).select(F.lit("form").alias("vid"), *[F.lit(v).alias(k) for k, v in form.items()])
     probe, known = canonical.persons(one, cfg, synonyms), canonical.persons(reference, cfg, synonyms)
-    pairs = blocking.probe_pairs(blocking.person_keys(probe, cfg), blocking.person_keys(known, cfg))
-    classed = _person_classes(rules.paired(pairs, probe, known), cfg, None, negatives=False)
+    pairs = blocking.probe_pairs(blocking.person_keys(probe, cfg), blocking.person_keys(known, cfg), hot=HOT)
+    shared = canonical.shared_contacts(known, cfg["shared_contact_threshold"])
+    classed = _person_classes(rules.paired(pairs, probe, known), cfg, shared, negatives=False)
     return classed.where((F.col("nscore") >= NOISE) & (F.col("classification") != rules.NOT_DUP)).orderBy(F.desc("score"), F.desc("nscore"), "vid_b")
-
-
-def legacy_organisations(df: DataFrame, cfg: dict) -> DataFrame:
-    """The older rules: name and pin and address, phone and pin and name; review at 50."""
-    canon = canonical.organisations(df, cfg)
-    pairs = rules.paired(blocking.candidate_pairs(blocking.legacy_organisation_keys(canon), cfg["blocking"]["cap"]), canon)
-    ns = rules.score_pairs(pairs.withColumn("_x", F.col("a.name_norm")).withColumn("_y", F.col("b.name_norm")), "_x", "_y", "nscore", token_sort_udf)
-    both = rules.score_pairs(ns.withColumn("_x", F.col("a.addr_norm")).withColumn("_y", F.col("b.addr_norm")), "_x", "_y", "address", token_sort_udf).drop("_x", "_y")
-    same = lambda x: F.coalesce((F.col(f"a.{x}") != "") & (F.col(f"a.{x}") == F.col(f"b.{x}")), F.lit(False))
-    pin, phone = same("postal_norm"), F.coalesce(F.arrays_overlap("a.phones", "b.phones"), F.lit(False))
-    rule = F.when((F.col("nscore") >= 92) & pin & (F.col("address") >= 90), "G1").when(phone & pin & (F.col("nscore") >= 92), "G2")
-    return both.select("vid_a", "vid_b", F.bround("nscore", 1).alias("nscore"), F.bround("address", 1).alias("address"), rule.alias("rule"))

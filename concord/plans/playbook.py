@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.config import config
-from concord.plans import linkage, tables
 from concord.session import table
 
 
@@ -78,22 +76,10 @@ def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_by_rank(rows, "vid", "l_extendedprice", "l_linenumber")
 
 
-def org_legacy_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of parts under the older rules, type and brand as the address."""
-    rows = tables.organisations(spark, sf_dir).withColumn("address_1", F.concat_ws(" ", "type", "city"))
-    return linkage.legacy_organisations(rows, config({"blocking": {"cap": None}})).drop("comment")
-
-
-def person_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One form against all customers."""
-    form = {"first_name": "n3", "last_name": "BUILDING", "city_cda": "NATION 3", "city": "NATION 3", "specialty_1": "A"}
-    return linkage.lookup(form, tables.persons(spark, sf_dir), config({"blocking": {"cap": None}}))
-
-
 ORACLES = {
     "affiliation_by_specialty": """with p as (select c_custkey as vid, c_mktsegment as s, case when n_nationkey % 3 = 0 then 'n' || n_nationkey when n_regionkey % 2 = 0 then 'r' || n_regionkey end as target from customer join nation on c_nationkey = n_nationkey)
 select target, sum((s = 'BUILDING')::int) as building, sum((s = 'MACHINERY')::int) as machinery, sum((s not in ('BUILDING', 'MACHINERY'))::int) as other, count(*) as total from p where target is not null group by 1""",
     "org_business_type": "select p_partkey as vid, case when p_size > 40 then 'Large' when p_partkey % 5 <> 0 then p_type else 'Unknown' end as business_type from part",
     "first_lines": "select vid, l_extendedprice, l_linenumber, l_partkey from (select l_orderkey as vid, l_extendedprice, l_linenumber, l_partkey, row_number() over (partition by l_orderkey order by l_extendedprice, l_linenumber) as n from lineitem) where n = 1",
 }
-QUERIES = {f.__name__: f for f in (affiliation_by_specialty, org_business_type, first_lines, org_legacy_pairs, person_lookup)}
+QUERIES = {f.__name__: f for f in (affiliation_by_specialty, org_business_type, first_lines)}

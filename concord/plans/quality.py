@@ -10,23 +10,21 @@ from concord.plans import tables
 from concord.session import table
 
 
-def _named(counts: DataFrame, df: DataFrame) -> DataFrame:
-    """First and last name from each id's first row."""
-    names = df.groupBy("vid").agg(F.min_by(F.struct("first_name", "last_name"), "seq").alias("n")).select("vid", "n.first_name", "n.last_name")
-    return counts.join(names, "vid", "left")
+def _counted(df: DataFrame, good, to: str) -> DataFrame:
+    """Rows that are ``good`` by id, and the names of each id's first row: one aggregate."""
+    out = df.groupBy("vid").agg(F.sum(good.cast("int")).alias(to), F.min_by(F.struct("first_name", "last_name"), "seq").alias("n"))
+    return out.select("vid", to, "n.first_name", "n.last_name")
 
 
 def active_licences(df: DataFrame) -> DataFrame:
     """Rows with an active licence and a number other than blank or 0, by id."""
     number = F.trim(F.coalesce("license_number", F.lit("")))
-    good = (F.coalesce("license_status", F.lit("")) == "Active") & ~number.isin("", "0")
-    return _named(df.groupBy("vid").agg(F.sum(good.cast("int")).alias("active_licences")), df)
+    return _counted(df, (F.coalesce("license_status", F.lit("")) == "Active") & ~number.isin("", "0"), "active_licences")
 
 
 def active_affiliations(df: DataFrame) -> DataFrame:
     """Rows with a parent that is not inactive, by id."""
-    good = (F.trim(F.coalesce("hco_vid", F.lit(""))) != "") & (F.coalesce("hco_status", F.lit("")) != "Inactive")
-    return _named(df.groupBy("vid").agg(F.sum(good.cast("int")).alias("active_affiliations")), df)
+    return _counted(df, (F.trim(F.coalesce("hco_vid", F.lit(""))) != "") & (F.coalesce("hco_status", F.lit("")) != "Inactive"), "active_affiliations")
 
 
 def candidates(df: DataFrame, flag: str = "candidate") -> DataFrame:
@@ -99,10 +97,10 @@ ORACLES = {
     "quality_candidates": f"with {_RAW} select distinct vid, first_name, last_name from raw where seq % 17 = 0",
     "quality_status": f"with {_RAW} select vid, arg_min(status, seq) as status from raw group by vid having arg_min(status, seq) <> 'Active'",
     "id_shield": "select trim(raw) as id, length(regexp_replace(raw, '[^0-9]', '', 'g')) >= 15 or regexp_matches(raw, '[eE]\\+') as at_risk from (select case o_orderkey % 3 when 0 then '9' || lpad(o_orderkey::varchar, 17, '0') when 1 then ' ' || o_orderkey || ' ' else o_orderkey || '.5E+17' end as raw from orders)",
-    "text_functions": f"""with rows_ as (select 'd' || doc_id as id, left(text, 60) as x, regexp_split_to_array(text, '[^\\p{{L}}]+')[1] as w0 from documents union all select 'p' || p_partkey, p_name || ' Hospital - ' || p_brand, p_name from part),
-r as (select *, regexp_replace(lower(w0), '[^a-z]', '', 'g') as w, regexp_replace(x, '[^0-9]', '', 'g') as d, {_NORM.format(x="x")} as norm, {_NORM.format(x="split_part(x, ' - ', 1)")} as stripped from rows_)
+    "text_functions": f"""with rows_ as (select 'd' || doc_id as id, text as x, case when len(list_filter(regexp_split_to_array(text, '[^\\p{{L}}]+'), lambda q: q <> '')) > 0 then list_filter(regexp_split_to_array(text, '[^\\p{{L}}]+'), lambda q: q <> '') when text is not null then [''] end as ws from documents union all select 'p' || p_partkey, p_name || ' Hospital - ' || p_brand, [p_name] from part),
+r as (select *, list_transform(ws, lambda q: regexp_replace(lower(q), '[^a-z]', '', 'g')) as clean, regexp_replace(x, '[^0-9]', '', 'g') as d, {_NORM.format(x="x")} as norm, {_NORM.format(x="split_part(x, ' - ', 1)")} as stripped from rows_)
 select id, norm, length(d)::int as n_digits, case when length(d) >= 7 then right(d, 10) end as phone, case when id[1] = 'p' then nullif(regexp_replace(upper(left(x, 12)), '[\\s\\-_/.]', '', 'g'), '') end as licence,
- case when w = '' then 'Z000' else rpad(upper(w[1]) || substr({_SOUND}, case when regexp_matches(w, '^[aeiouhwy]') then 1 else 2 end, 3), 4, '0') end as sound, stripped,
+ array_to_string(list_transform(clean, lambda w: case when w = '' then 'Z000' else rpad(upper(w[1]) || substr({_SOUND}, case when regexp_matches(w, '^[aeiouhwy]') then 1 else 2 end, 3), 4, '0') end), ' ') as sound, stripped,
  trim(regexp_replace(trim(regexp_replace(stripped, '^({_HEADS})(\\s+|$)', '')), '((^|\\s+)({_GENERIC}))+$', '')) as core,
  array_to_string(list_transform(list_filter(string_split(norm, ' '), lambda q: length(q) > 1 and q not in ({_STOP})), lambda q: q[1]), '') as acronym from r""",
 }

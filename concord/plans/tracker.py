@@ -31,6 +31,18 @@ def hours_minutes(hours: Column) -> Column:
     return F.format_string("%dh %dm", hours.cast("int"), ((hours - hours.cast("int")) * 60).cast("int"))
 
 
+def hours_of(text: Column) -> Column:
+    """Hours of ``H:MM:SS``; null without a colon or with parts that are no numbers."""
+    part = F.split(text, ":")
+    number = lambda i: F.try_element_at(part, F.lit(i + 1)).try_cast("int")
+    return F.when(F.contains(text, F.lit(":")), number(0) + number(1) / 60 + number(2) / 3600)
+
+
+def shown_source(source: Column, names: dict[str, str]) -> Column:
+    """The client's name for a source, where it has one."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[source], source) if names else source
+
+
 def note_code(note: Column) -> Column:
     """The last ``[X-NNNNN]``, or empty."""
     return F.coalesce(F.try_element_at(F.regexp_extract_all(F.coalesce(note, F.lit("")), F.lit(r"\[[A-Z]-\d{5}\]"), F.lit(0)), F.lit(-1)), F.lit(""))
@@ -108,6 +120,12 @@ def tracker_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows(spark, sf_dir).where("resolution = 'Rejected' and reason <> 'N/A'").groupBy("reason").agg(F.count("*").alias("requests"))
 
 
+def tracker_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients under their shown names with the mean service time, read back from its text, as hours and minutes."""
+    done = rows(spark, sf_dir).where("weekday").withColumn("client", shown_source(F.col("source"), {"alpha": "Alpha Inc", "gamma": "Gamma AG"}))
+    return done.groupBy("client").agg(F.round(F.avg(hours_of(F.col("service_time"))), 6).alias("mean_hours"), F.count("*").alias("requests")).withColumn("shown", hours_minutes(F.col("mean_hours")))
+
+
 def tracker_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clients by request kind and resolution, with a total row."""
     is_add = F.col("type").contains("ADD")
@@ -132,4 +150,5 @@ ORACLES = {
     "tracker_reasons": _ROWS + " select reason, count(*) as requests from t where resolution = 'Rejected' and reason <> 'N/A' group by reason",
     "tracker_pivot": _ROWS + " select coalesce(source, 'Total') as client, sum((is_add and resolution = 'Accepted')::int) as add_accepted, sum((not is_add and resolution = 'Accepted')::int) as change_accepted, sum((is_add and resolution = 'Rejected')::int) as add_rejected, sum((not is_add and resolution = 'Rejected')::int) as change_rejected, count(*) as total from t group by rollup(source)",
 }
-QUERIES = {f.__name__: f for f in (tracker_rows, tracker_append, tracker_sla, tracker_clients, tracker_reasons, tracker_pivot)}
+ORACLES["tracker_sources"] = _ROWS + """ select client, mean_hours, requests, floor(mean_hours)::int || 'h ' || floor((mean_hours - floor(mean_hours)) * 60)::int || 'm' as shown from (select case source when 'alpha' then 'Alpha Inc' when 'gamma' then 'Gamma AG' else source end as client, round(avg(ss / 3600.0), 6) as mean_hours, count(*) as requests from t where weekday group by 1)"""
+QUERIES = {f.__name__: f for f in (tracker_rows, tracker_sources, tracker_append, tracker_sla, tracker_clients, tracker_reasons, tracker_pivot)}

@@ -7,7 +7,7 @@ import pytest
 
 from concord.config import config
 from concord.operators import blocking, canonical, rules
-from concord.plans import dedupe, linkage, tables
+from concord.plans import linkage, persons, tables
 
 SEGMENTS, CITIES = ["BUILDING", "MACHINERY", "FURNITURE"], ["PERU", "CHINA", "KENYA", "INDIA"]
 
@@ -42,12 +42,12 @@ def test_all_pairs_of_large_blocks(spark, made, monkeypatch):
     monkeypatch.setattr(linkage, "HOT", 20)
     at, keys = made
     want = {(a, b) for a, b in combinations(sorted(keys), 2) if keys[a] & keys[b]}
-    got = dedupe.person_dedupe_pairs(spark, at).collect()
+    got = persons.person_dedupe_pairs(spark, at).collect()
     assert len(got) == len(want) and {(r.vid_a, r.vid_b) for r in got} == want
     by = {}
     for r in got:
         by.setdefault(r.classification, []).append(r)
-    summary = {r.classification: (r.pairs, r.vids) for r in dedupe.person_summary(spark, at).collect()}
+    summary = {r.classification: (r.pairs, r.vids) for r in persons.person_summary(spark, at).collect()}
     assert summary == {k: (len(v), len({x for r in v for x in (r.vid_a, r.vid_b)})) for k, v in by.items()}
     assert any(r.rule == "G1_NAME_SPL_HCO" or "HCO" in r.reasons for r in got)
 
@@ -62,7 +62,7 @@ def test_salted_blocks_give_the_same_pairs(spark):
 def test_every_customer_is_probed(spark, made, monkeypatch, external):
     monkeypatch.setattr(linkage, "HOT", 20)
     at, keys = made
-    cfg, rows = config(dedupe._PERSON), tables.persons(spark, at)
+    cfg, rows = config(persons.PERSON), tables.persons(spark, at)
     probe = canonical.persons(rows.drop("license_number", "license_body", "license_status") if external else rows, cfg)
     known = canonical.persons(rows, cfg)
     # an external record has no licence, hence no licence key; the classes come from all pairs, the keys from here
@@ -76,6 +76,6 @@ def test_every_customer_is_probed(spark, made, monkeypatch, external):
             auto = r.classification == "AUTO"
             count[r.vid_a] += 1
             best[r.vid_a] = min(best.get(r.vid_a, (1, 0, "")), (-auto, -(r.nscore if auto else r.score), r.vid_b))
-    got = (dedupe.person_external if external else dedupe.person_screen)(spark, at).collect()
+    got = (persons.person_external if external else persons.person_screen)(spark, at).collect()
     assert {r.vid.removeprefix("src:"): (r.match_count, r.best_vid) for r in got} == {v: (n, best[v][2] if n else "") for v, n in count.items()}
     assert len(got) == len(keys)
