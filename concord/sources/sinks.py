@@ -33,11 +33,26 @@ def rules_sheet(df: DataFrame, cfg: dict) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "section string, name string, value string")
 
 
-def save_index(keys: DataFrame, canon: DataFrame, folder: str, buckets: int = 32) -> None:
-    """A reference index: records, and keys dealt by their hash so that probes read few files."""
+BUCKETS = 32
+
+
+def _bucket(buckets: int = BUCKETS):
+    return F.pmod(F.xxhash64("kind", "key"), F.lit(buckets)).cast("int")
+
+
+def save_index(keys: DataFrame, canon: DataFrame, folder: str) -> None:
+    """A reference index: records, and keys in folders by their hash."""
     canon.write.mode("overwrite").parquet(f"{folder}/records")
-    keys.withColumn("b", F.pmod(F.xxhash64("kind", "key"), F.lit(buckets))).repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{folder}/keys")
+    keys.withColumn("b", _bucket()).repartition("b", F.xxhash64("vid") % 8).write.mode("overwrite").partitionBy("b").parquet(f"{folder}/keys")
 
 
 def load_index(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Keys and records of an index, whole."""
     return spark.read.parquet(f"{folder}/keys").drop("b"), spark.read.parquet(f"{folder}/records")
+
+
+def probe_index(spark, folder: str, probe: DataFrame) -> DataFrame:
+    """Rows of the index with a key of ``probe`` (kind, key): only the folders that the probe's keys hash to are read."""
+    wanted = [r["b"] for r in probe.select(_bucket().alias("b")).distinct().collect()]  # BUCKETS at most
+    held = spark.read.parquet(f"{folder}/keys").where(F.col("b").isin(wanted)) if wanted else spark.read.parquet(f"{folder}/keys").limit(0)
+    return held.drop("b").join(probe.select("kind", "key").distinct(), ["kind", "key"], "left_semi")
