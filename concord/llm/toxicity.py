@@ -32,6 +32,8 @@ ORDER, SHARED = 6, 2
 HELD = 1 << 20
 #: Words whose ratio a worker keeps, and bytes of text that it works through at once.
 CACHE, RUN_BYTES = 1 << 19, 1 << 20
+#: Width of the filter for labelled keys, in bits, at most: 32 MB.
+FILTER_BITS = 28
 DISCOUNT = 0.75
 #: Log-likelihood ratio from which a word counts as telling.
 TELLING = 2.0
@@ -297,6 +299,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.models.features(column) @ self.weights + self.bias, -30, 30)))
 
 
+def labelled_only(texts: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Rows of ``texts`` (key, text) with their label (key, toxic).
+
+    A bitmap of the labelled keys' hashes, 2**FILTER_BITS bits at most, leaves most other texts out
+    before anything is shuffled; the join that follows is exact.
+    """
+    bits = min(FILTER_BITS, max(18, (16 * labels.count()).bit_length()))
+    cell = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+    blocks = labels.select(F.shiftright(cell, 15).alias("block"), cell.bitwiseAND(32767).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    wanted = bytearray((1 << bits) // 8)
+    for r in blocks.collect():  # 2**FILTER_BITS bits at most
+        wanted[r["block"] * 4096 : (r["block"] + 1) * 4096] = r["bits"]
+    sent = texts.sparkSession.sparkContext.broadcast(bytes(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = np.frombuffer(sent.value, dtype=np.uint8)
+        for batch in batches:
+            at = np.asarray(batch.column(2), dtype=np.int64)
+            keep = (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+            yield batch.filter(pa.array(keep)).select([0, 1])
+
+    few = texts.withColumn("_cell", cell).mapInArrow(run, T.StructType([texts.schema[key], texts.schema["text"]]))
+    return few.join(labels.hint("merge"), key).select("text", "toxic")
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5) -> Model:
     """Learn from labelled rows outside fold 0: counts from folds 1 to ``folds`` - 2, the curve from the last.
 
@@ -306,7 +333,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     clean = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (fold(key, folds) != 0)).groupBy(key).agg(F.min(label).alias("toxic"), F.max(label).alias("_most")).where("toxic = _most").drop("_most")
     texts = docs.select(key, F.col(text).alias("text"))
-    models = KneserNey(counted(texts.where(fold(key, folds) != folds - 1).join(clean.where(fold(key, folds) != folds - 1), key).select("text", "toxic")))
+    counting = fold(key, folds).between(1, folds - 2)
+    models = KneserNey(counted(labelled_only(texts.where(counting), clean.where(counting), key)))
     few = None
     for c in (0, 1):
         own = clean.where((F.col("toxic") == c) & (fold(key, folds) == folds - 1)).orderBy(F.xxhash64(key, F.lit(5)), key).limit(MAX_LABELLED)
