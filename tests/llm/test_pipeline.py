@@ -43,3 +43,21 @@ def test_stages(spark):
         assert r.n_chars == len(r.text) or not gone
     sums = {r[0]: r[1] for r in packed.groupBy("doc_id").sum("length").collect()}
     assert set(sums) == set(texts)
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """Rows stand for themselves: a near copy goes even where its id is another group's head's."""
+    w = [f"w{i}" for i in range(60)]
+    v = [f"v{i}" for i in range(60)]
+    rows = [(1, " ".join(v)), (1, " ".join([*w, "end"])), (0, " ".join(w)), (0, " ".join(w)), (None, " ".join([*w, "last"])), (7, None), (8, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, docs, DATA)
+    assert got.columns == docs.columns
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got.collect()) == sorted([(1, " ".join(v)), (-1, " ".join([*w, "last"])), (7, ""), (8, "")])
+    assert corpus_pipeline.drop_near_copies(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_empty_documents_pass_through(spark, tmp_path):
+    spark.read.parquet(f"{DATA}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
