@@ -173,6 +173,7 @@ def counted(examples: DataFrame) -> dict[int, dict[str, np.ndarray]]:
     parts = word_counts(examples).mapInArrow(cut_up, schema).groupBy("k", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.first("suffix").alias("suffix"), F.first("context").alias("context"))
     found = parts.select(*names).toArrow()
     columns = {n: found.column(n).to_numpy() for n in names}
+    del found
     out = {}
     for k in np.unique(columns["k"]).tolist():
         own = np.flatnonzero(columns["k"] == k)
@@ -348,6 +349,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(list(sent.value.features(batch.column(0))), pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
 
     rows = examples.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "x array<double>, toxic int").collect()
+    sent.destroy()
     y = np.array([r["toxic"] for r in rows], dtype=np.float64)
     if not len(rows) or not 0 < y.sum() < len(y):
         return Model(models, np.zeros(4), -30.0)
