@@ -122,6 +122,17 @@ def spellings(part: Column) -> Column:
     return F.coalesce(table[part], F.array().cast("array<string>"))
 
 
+def near_spelt(words: Column, first: Column, last: Column, within: int = NEAR) -> Column:
+    """As ``near``, with words that hold any spelling of a name."""
+
+    def places(name: Column) -> Column:
+        # bound as a lambda variable, the spellings are looked up once
+        found = F.transform(F.array(F.array_append(spellings(name), name)), lambda ns: F.filter(F.transform(words, lambda w, i: F.when(F.exists(ns, lambda v: F.contains(w, v)), i)), lambda i: i.isNotNull()))
+        return F.get(found, F.lit(0))
+
+    return F.exists(places(first), lambda i: F.exists(places(last), lambda j: F.abs(i - j) <= within))
+
+
 def doctor_links(url: Column, html: Column, limit: int = LINKS) -> Column:
     """Distinct absolute links of the page's own domain whose words promise a list of people, in order, ``limit`` at most."""
     host = F.coalesce(F.regexp_extract(url, "://([^/?#]*)", 1), F.lit(""))
@@ -144,7 +155,12 @@ def name_score(name: Column, text: Column, first: Column | None = None, last: Co
     hits = F.size(F.filter(parts, lambda p: F.contains(t, p)))
     all_ = (F.size(parts) > 0) & (hits == F.size(parts))
     spelt = F.size(F.filter(parts, lambda p: F.contains(t, p) | F.exists(spellings(p), lambda v: F.contains(t, v))))
-    close = F.lit(True) if first is None else (F.lower(first) == "") | (F.lower(last) == "") | near(F.split(t, r"\s+"), F.lower(first), F.lower(last))
+    if first is None:
+        close = F.lit(True)
+    else:
+        f, l, words = F.lower(F.trim(first)), F.lower(F.trim(last)), F.split(t, r"\s+")  # noqa: E741
+        near_by = F.when(F.contains(t, f) & F.contains(t, l), near(words, f, l)).otherwise(near_spelt(words, f, l))
+        close = (f == "") | (l == "") | near_by
     full = F.when(~close, 40).otherwise(F.when(all_, 95).otherwise(90))
     share = (F.greatest(hits, spelt) / F.greatest(F.size(parts), F.lit(1)) * 75).cast("int")
     return F.when((n == "") | (t == ""), 0).when(F.contains(t, n), 100).when(F.size(parts) == 0, 0).when(all_ | (spelt == F.size(parts)), full).otherwise(share)
