@@ -2,9 +2,9 @@
 
 A text is cut before every single space that follows a character which is no white space.  No match
 of the splitting pattern crosses such a place, so a text's ids are its chunks' ids in order.  Each
-distinct chunk of a batch is looked up in a bounded per-worker cache and otherwise encoded: its
-bytes are mapped to the byte alphabet's characters and given to the library's BPE model, one match
-of the pattern at a time.  Arrow's dictionary encoding finds the distinct chunks.
+distinct chunk of a batch, found by Arrow's dictionary encoding, is cut into the pattern's matches.  A
+match is looked up in a bounded per-worker cache of two generations and otherwise encoded: its bytes
+are mapped to the byte alphabet's characters and given to the library's BPE model.
 """
 
 from __future__ import annotations
@@ -24,9 +24,10 @@ _UNSAFE = r"[\x00-\x20\x7f\x{80}-\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f
 _SAFE_CUT = re.compile(r"(?<=\S)(?= )")
 #: Punctuation that a match of its own begins with after letters.
 _CLOSING = ".,;:!?"
-_ENDS = frozenset(_CLOSING)
-#: Chunks kept per worker, and the longest that is kept, in characters: some 60 MB.
-CACHE, LONGEST = 300_000, 64
+#: Matches after which half of a worker's cache goes, and the longest that is kept, in characters: some 80 MB.
+CACHE, LONGEST = 400_000, 64
+#: Bytes of text encoded at a time, so that a distinct chunk is looked up once in many texts.
+RUN_BYTES = 1 << 23
 
 
 def byte_alphabet() -> list[str]:
@@ -73,43 +74,39 @@ class ByteBpe:
         self.model = model
         self.split = pre_tokenizers.Split(Regex(pattern), behavior="removed", invert=True)
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.limit = cache
         self.sizes = np.array([len(t) for t in token_bytes], dtype=np.int64)
         self.pool = np.frombuffer(b"".join(token_bytes), dtype=np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def _piece(self, piece: str) -> list[int]:
-        chars = "Ġ" + piece[1:] if piece[0] == " " and piece[1:].isalpha() and piece.isascii() else to_chars(piece.encode())
-        return [t.id for t in self.model.tokenize(chars)]
+    def _match(self, match: str) -> bytes:
+        """Ids of one match of the pattern as little-endian 32-bit integers."""
+        ids = self.cache.get(match)
+        if ids is None:
+            ids = self.older.get(match)
+            if ids is None:
+                chars = match.replace(" ", "Ġ") if match.isascii() and match.isprintable() else to_chars(match.encode())
+                ids = array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
+            if len(match) <= LONGEST:
+                self.cache[match] = ids
+        return ids
 
     def _chunk(self, chunk: str) -> bytes:
-        """Ids of one chunk as little-endian 32-bit integers."""
         # a space at most and Latin letters are one match, closing punctuation after them another
         stem = chunk.rstrip(_CLOSING)
         body = stem[1:] if stem[:1] == " " else stem
         if body.isalpha() and (body.isascii() or max(body) < "ɐ"):
-            if len(stem) < len(chunk):
-                return self._cached(stem) + self._cached(chunk[len(stem) :])
-            ids = self._piece(chunk)
-        else:
-            ids = [i for p, _ in self.split.pre_tokenize_str(chunk) for i in self._piece(p)]
-        return array("I", ids).tobytes()
-
-    def _cached(self, chunk: str) -> bytes:
-        ids = self.cache.get(chunk)
-        if ids is None:
-            ids = self._chunk(chunk)
-            if len(chunk) <= LONGEST:
-                self.cache[chunk] = ids
-        return ids
+            return self._match(stem) + self._match(chunk[len(stem) :]) if len(stem) < len(chunk) else self._match(chunk)
+        return b"".join([self._match(m) for m, _ in self.split.pre_tokenize_str(chunk)])
 
     def _lookup(self, chunks: list[str]) -> list[bytes]:
-        if len(self.cache) + len(chunks) > self.limit:
-            self.cache = {}
+        if len(self.cache) > self.limit // 2:
+            # matches met again move from the older half to the newer one, the others go
+            self.cache, self.older = {}, self.cache
         found = list(map(self.cache.get, chunks))
         for at in [i for i, ids in enumerate(found) if ids is None]:
-            # words with closing punctuation are put together from what is cached
-            found[at] = self._chunk(chunks[at]) if chunks[at][-1:] in _ENDS else self._cached(chunks[at])
+            found[at] = self._chunk(chunks[at])
         return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

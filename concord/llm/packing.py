@@ -131,7 +131,7 @@ def pieces(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: int
         bpe = byte_bpe.load(*given)
         close = np.array([end_id], dtype="<u4").tobytes()
         for whole in batches:
-            for part in slices(whole, text):
+            for part in slices(whole, text, byte_bpe.RUN_BYTES):
                 ids, begin = bpe.encode(part.column(1))
                 ids = ids.astype("<u4", copy=False)
                 rows, starts, sizes, crcs, totals, heads, tails, own_ids = [], [], [], [], [], [], [], []

@@ -31,7 +31,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, pattern:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = byte_bpe.load(*given)
         for whole in batches:
-            for part in slices(whole, text):
+            for part in slices(whole, text, byte_bpe.RUN_BYTES):
                 ids, begin = bpe.encode(part.column(part.schema.get_field_index(text)))
                 made = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(ids.astype(np.int32)))
                 keep = [n for n in part.schema.names if n != to]
@@ -65,7 +65,7 @@ def round_trip(df: DataFrame, key: str = "doc_id", text: str = "text", path: str
         bpe = byte_bpe.load(*given)
         decimal = np.array([str(i) for i in range(len(bpe.sizes))], dtype=object)
         for whole in batches:
-            for part in slices(whole, text):
+            for part in slices(whole, text, byte_bpe.RUN_BYTES):
                 ids, begin = bpe.encode(part.column(1))
                 counts, listed, decoded = np.diff(begin), [], []
                 for a, b in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):

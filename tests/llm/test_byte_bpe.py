@@ -52,3 +52,15 @@ def test_query_columns(spark, reference):
     back = tokens.decode(tokens.encode(df)).withColumn("same", F.col("decoded").cast("string") == F.coalesce("text", F.lit("")))
     assert back.where("not same").count() == 0
     assert tokens.round_trip(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cache", [0, 8, 1000])
+def test_cache_of_any_size(cache):
+    """Results do not hang on what the cache holds, nor on which of its halves."""
+    path = P.path("byte_bpe_50k.json")
+    small, whole = byte_bpe.load.__wrapped__(path, P.PATTERN), byte_bpe.load(path, P.PATTERN)
+    small.limit = cache
+    texts = ["the cat's  the.\nThe cat, it's", "", "the café’s 12 the.\n\n x", "cat cat cat's\tthe." * 5, "the cat's  the.\nThe cat, it's"]
+    for _ in range(3):
+        got, want = small.encode(pa.array(texts)), whole.encode(pa.array(texts))
+        assert got[0].tolist() == want[0].tolist() and got[1].tolist() == want[1].tolist()
