@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from concord.llm import fingerprints, language, near_vectors, ngram_join, packing, shards, substrings, tokens, toxicity, urls
+from concord.llm import fingerprints, language, near_vectors, ngram_join, oracles, packing, shards, substrings, tokens, toxicity, urls
 
 QUERIES = {
     "op1_shards": shards.op1_shards,
@@ -16,4 +16,9 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_byte_bpe": tokens.op10_byte_bpe,
 }
-ORACLES: dict[str, str] = {"op1_shards": shards.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_shards": shards.ORACLE,
+    "op2_ngram_jaccard": oracles.NGRAM_JACCARD,
+    "op7_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op8_near_vectors": oracles.NEAR_VECTORS,
+}
