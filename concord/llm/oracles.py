@@ -51,9 +51,10 @@ FROM texts LEFT JOIN kept ON texts.r = kept.r
 NEAR_VECTORS = r"""
 WITH RECURSIVE whole AS (
     SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-sound AS (
-    SELECT r, vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM whole
-    WHERE v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+checked AS (
+    SELECT r, vec_id, list_transform(v, lambda x: coalesce(x, 0)) AS v,
+           len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0 AS ok FROM whole),
+sound AS (SELECT r, vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM checked WHERE ok),
 links AS (
     SELECT a.r AS a, b.r AS b, b.vec_id
     FROM sound a JOIN sound b ON len(a.v) = len(b.v) AND a.r <> b.r
