@@ -24,9 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are in one of the learned languages; those below the calibrated margin, null texts and texts without a letter go."""
-    labelled = docs.where(fold() != 0)
-    return language.identify(docs, language.learn(labelled), margin=language.calibrate(labelled)).where("not rejected").select(*docs.columns)
+    """Documents that are in one of the learned languages; those below the margin, null texts and texts without a letter go.
+
+    Margins are calibrated on all labelled documents of the training folds.
+    """
+    return language.identify_calibrated(docs, fold() != 0).where("not rejected").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 from concord.llm import language
 from concord.llm.folds import fold
 
@@ -77,6 +78,21 @@ def test_query_rejects_by_margins_of_all_rows(spark, tmp_path):
     assert sorted((r.doc_id, r.lang_pred, r.score, r.rejected) for r in got.collect()) == sorted(expected)
 
 
+def test_stage_drops_by_margins_of_all_rows(spark):
+    docs = spark.createDataFrame(corpus(), SCHEMA).repartition(3)
+    labelled = docs.where(fold() != 0)
+    dictionaries = language.learn(labelled)
+    limits = plain([(r.text, r.lang) for r in labelled.collect()])(dictionaries)
+    model, expected = language.Classifier(dictionaries), []
+    for r in docs.collect():
+        lang, _, margin, size = model.classify(r.text)
+        if lang != "und" and margin >= max((at, m) for at, m in limits if at <= size)[1]:
+            expected.append(tuple(r))
+    got = corpus_pipeline.drop_unknown_language(spark, docs, "")
+    assert got.schema == docs.schema and 0 < len(expected) < docs.count() - 4
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
+
+
 def test_quantiles_are_exact(spark):
     rng = random.Random(4)
     draw = [lambda: rng.random() ** 9, lambda: rng.choice([0.1, 0.25, 1 / 3]), lambda: 0.5, lambda: 1 + rng.randrange(50) * 1e-15]
