@@ -61,3 +61,17 @@ def test_compared_pairs_do_not_grow_with_copies(spark):
     assert one.classes.count() == many.classes.count()
     pairs = lambda x: sum(r.pairs for r in x.summary().collect())
     assert pairs(many) == many.pairs.count() > 15 * pairs(one)
+
+
+def test_review_shows_each_record_on_its_side(spark):
+    rows = made(spark, 2)
+    got, want = linkage.dedupe_organisations(rows, NO_CAP, display=True), plain(rows, display=True)
+    assert rows_of(got.pairs) == rows_of(want.pairs)
+    assert got.classes.count() < got.pairs.count()
+
+
+def test_org_review_is_in_order(spark, tmp_path):
+    parts = [(i, f"{'old' if i % 3 else 'new'} ring", "LARGE" if i % 2 else "SMALL", f"Brand#{i % 2}", i % 20) for i in range(60)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = [(-r.score, r.vid_a, r.vid_b) for r in dedupe.org_review(spark, str(tmp_path)).collect()]
+    assert got == sorted(got) and got
