@@ -75,3 +75,16 @@ def test_org_review_is_in_order(spark, tmp_path):
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = [(-r.score, r.vid_a, r.vid_b) for r in dedupe.org_review(spark, str(tmp_path)).collect()]
     assert got == sorted(got) and got
+
+
+def test_cross_check_groups_either_side(spark, monkeypatch):
+    seen, unrolled = [], profiles.unrolled
+    monkeypatch.setattr(profiles, "unrolled", lambda classes, *records: seen.append(classes.count()) or unrolled(classes, *records))
+    rows = made(spark, 4)
+    target = rows.where(F.col("seq") % 3 == 0)
+    got = linkage.cross_check_organisations(target, rows, NO_CAP)
+    left, right = (rules.organisation_words(canonical.organisations(x, NO_CAP)) for x in (target, rows.where(F.col("seq") % 3 != 0)))
+    pairs = blocking.probe_pairs(blocking.organisation_keys(left, NO_CAP), blocking.organisation_keys(right, NO_CAP))
+    want = linkage._organisation_classes(rules.paired(pairs, left, right), NO_CAP)
+    assert rows_of(got) == rows_of(want)
+    assert seen[0] < want.count()
