@@ -71,7 +71,7 @@ def test_review_shows_each_record_on_its_side(spark):
 
 
 def test_org_review_is_in_order(spark, tmp_path):
-    parts = [(i, f"{'old' if i % 3 else 'new'} ring", "LARGE" if i % 2 else "SMALL", f"Brand#{i % 2}", i % 20) for i in range(60)]
+    parts = [(i, f"{'old' if i % 3 else 'new'} ring", "LARGE" if i % 2 else "SMALL", f"Brand#{i % 4 // 2}", i % 20) for i in range(60)]
     spark.createDataFrame(parts, "p_partkey long, p_name string, p_type string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = [(-r.score, r.vid_a, r.vid_b) for r in dedupe.org_review(spark, str(tmp_path)).collect()]
     assert got == sorted(got) and got
