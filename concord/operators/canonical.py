@@ -22,10 +22,6 @@ def _set(value: Column) -> Column:
     return F.array_sort(F.collect_set(F.when(value != "", value)))
 
 
-def _sets(values: Column) -> Column:
-    return F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.filter(values, lambda v: v.isNotNull() & (v != ""))))))
-
-
 def organisations(df: DataFrame, cfg: dict) -> DataFrame:
     """One record for each ``vid``; rows without one are left out."""
     c = lambda n: column(df, n)
@@ -47,30 +43,40 @@ def persons(df: DataFrame, cfg: dict, synonyms: dict[str, list[str]] | None = No
     """One record for each ``vid``; phones, e-mails and specialties may be arrays or single columns."""
     c = lambda n: column(df, n)
 
-    def many(prefix: str, norm) -> Column:
+    def raw(prefix: str) -> Column:
+        """The distinct values of one or several columns as they are; they are normalised once an id, not once a row."""
         names = [n for n in df.columns if n == prefix or n.startswith(f"{prefix}_")]
-        return F.array(*[norm(F.col(n)) for n in names]) if names else F.array().cast("array<string>")
+        values = [F.col(n).cast("string") for n in names]
+        if len(values) == 1:
+            return F.collect_set(values[0])
+        return F.array_distinct(F.flatten(F.collect_set(F.filter(F.array(*values), lambda v: v.isNotNull())))) if values else F.array().cast("array<string>")
+
+    def normed(name: str, norm) -> Column:
+        return F.array_sort(F.array_distinct(F.filter(F.transform(name, norm), lambda v: v.isNotNull() & (v != "")))).alias(name)
+
+    def licences(name: str) -> Column:
+        each = F.transform(name, lambda x: F.struct(X.norm_license(x["num"]).alias("num"), X.norm_text(x["body"]).alias("body")))
+        return F.array_sort(F.array_distinct(F.filter(each, lambda x: x["num"].isNotNull()))).alias(name)
 
     strip = lambda x: X.strip_name_affixes(X.norm_text(x), cfg["name"]["strip"])
-    first, last = strip(c("first_name")), strip(c("last_name"))
-    full = F.trim(F.concat_ws(" ", first, strip(c("middle_name")), last))
-    canon = F.regexp_replace(F.when(full != "", full).otherwise(strip(c("full_name"))), " +", " ")
     active = F.upper(F.trim(c("license_status"))).isin("A", "ACTIVE")
-    licence = F.struct(X.norm_license(c("license_number")).alias("num"), X.norm_text(c("license_body")).alias("body"))
-    rows = df.where(c("vid").isNotNull()).select(
-        c("vid").alias("vid"), (F.col("seq") if "seq" in df.columns else F.monotonically_increasing_id()).alias("seq"),
-        F.struct(canon.alias("name_canon"), first.alias("first_norm"), last.alias("last_norm"), X.norm_text(c("city_cda")).alias("city_cda"), c("status").alias("status"), X.blank(c("candidate")).alias("candidate"),
-            F.trim(F.concat(X.blank(c("first_name")), F.lit(" "), X.blank(c("last_name")))).alias("display_name"), F.concat_ws("; ", *[F.trim(F.col(n).cast("string")) for n in df.columns if n == "specialty" or n.startswith("specialty_")]).alias("display_specialties")).alias("first"),
-        many("specialty", X.norm_text).alias("specialties"), many("phone", X.norm_phone).alias("phones"), many("email", X.norm_email).alias("emails"),
-        F.when(X.norm_license(c("license_number")).isNotNull(), licence).alias("licence"),
-        F.when(X.norm_license(c("license_number")).isNotNull() & active, licence).alias("active_licence"),
-        many("hco_vid", F.trim).alias("hcos"), X.digits(c("postal")).alias("pin"), X.norm_text(c("city")).alias("city"), X.norm_text(c("state")).alias("state"),
+    licence = F.when(c("license_number").isNotNull(), F.struct(c("license_number").alias("num"), c("license_body").alias("body")))
+    said = ["first_name", "last_name", "middle_name", "full_name", "city_cda", "status", "candidate"]
+    shown = F.concat_ws("; ", *[F.trim(F.col(n).cast("string")) for n in df.columns if n == "specialty" or n.startswith("specialty_")])
+    rows = (df if "seq" in df.columns else df.withColumn("seq", F.monotonically_increasing_id())).where(c("vid").isNotNull()).groupBy(c("vid").alias("vid")).agg(
+        F.min_by(F.struct(*[c(n).alias(n) for n in said], shown.alias("display_specialties")), "seq").alias("r"),
+        raw("specialty").alias("specialties"), raw("phone").alias("phones"), raw("email").alias("emails"), F.collect_set(licence).alias("licenses"), F.collect_set(F.when(active, licence)).alias("active_licenses"),
+        raw("hco_vid").alias("hco_vids"), F.collect_set(c("postal")).alias("pins"), F.collect_set(c("city")).alias("cities"), F.collect_set(c("state")).alias("states"),
+    )
+    r = lambda n: F.col(f"r.{n}")
+    named = rows.withColumns({"first_norm": strip(r("first_name")), "last_norm": strip(r("last_name")), "_middle": strip(r("middle_name"))})
+    full = F.trim(F.concat_ws(" ", "first_norm", "_middle", "last_norm"))
+    canon = F.regexp_replace(F.when(full != "", full).otherwise(strip(r("full_name"))), " +", " ")
+    out = named.select(
+        "vid", canon.alias("name_canon"), "first_norm", "last_norm", X.norm_text(r("city_cda")).alias("city_cda"), r("status").alias("status"), X.blank(r("candidate")).alias("candidate"),
+        F.trim(F.concat(X.blank(r("first_name")), F.lit(" "), X.blank(r("last_name")))).alias("display_name"), r("display_specialties").alias("display_specialties"),
+        normed("specialties", X.norm_text), normed("phones", X.norm_phone), normed("emails", X.norm_email), licences("licenses"), licences("active_licenses"), normed("hco_vids", lambda v: F.trim(v)), normed("pins", X.digits), normed("cities", X.norm_text), normed("states", X.norm_text),
     )
-    out = rows.groupBy("vid").agg(
-        F.min_by("first", "seq").alias("first"), _sets(F.col("specialties")).alias("specialties"), _sets(F.col("phones")).alias("phones"), _sets(F.col("emails")).alias("emails"),
-        F.array_sort(F.collect_set("licence")).alias("licenses"), F.array_sort(F.collect_set("active_licence")).alias("active_licenses"),
-        _sets(F.col("hcos")).alias("hco_vids"), _set(F.col("pin")).alias("pins"), _set(F.col("city")).alias("cities"), _set(F.col("state")).alias("states"),
-    ).select("vid", "first.*", "specialties", "phones", "emails", "licenses", "active_licenses", "hco_vids", "pins", "cities", "states")
     resolved = F.transform("specialties", lambda s: X.synonym_group(s, synonyms)) if synonyms else F.col("specialties")
     return out.withColumn("specialty_groups", F.array_sort(F.array_distinct(resolved)))
 
